@@ -42,7 +42,8 @@ def _extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _reviewed(spark: SparkSession, folder: str) -> DataFrame:
-    return review(samples.papers(spark, folder), _replies(spark, folder), SCHEMA)
+    documents = samples.papers(samples.documents(spark, folder))
+    return review(documents, _replies(spark, folder), SCHEMA)
 
 
 def _reviewed_all_readable(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +60,7 @@ def pending(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def assemble_pages(spark: SparkSession, folder: str) -> DataFrame:
-    texts = samples.documents(spark, folder)
+    texts = samples.spread_documents(spark, folder)
     return with_text(samples.document_ids(spark, folder), samples.pages(texts)).select(
         "doc_id", "text"
     )
@@ -115,7 +116,8 @@ def render_prompt(spark: SparkSession, folder: str) -> DataFrame:
 def compose_prompt(spark: SparkSession, folder: str) -> DataFrame:
     message = requests.full_prompt(F.col("text"), SCHEMA.prompt(), CONTENT_LIMIT)
     return (
-        samples.papers(spark, folder).select("doc_id", message.alias("message"))
+        samples.papers(samples.spread_documents(spark, folder))
+        .select("doc_id", message.alias("message"))
         .select(
             "doc_id",
             F.length("message").cast("bigint").alias("n_chars"),
@@ -125,7 +127,8 @@ def compose_prompt(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chat_payload(spark: SparkSession, folder: str) -> DataFrame:
-    sent = requests.requests(samples.papers(spark, folder), SCHEMA.prompt(), MODEL)
+    documents = samples.papers(samples.spread_documents(spark, folder))
+    sent = requests.requests(documents, SCHEMA.prompt(), MODEL)
     shape = (
         "model string, messages array<struct<role:string,content:string>>, "
         "temperature double, max_tokens bigint, stream boolean"
@@ -166,7 +169,8 @@ def backoff_cost(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attach_responses(spark: SparkSession, folder: str) -> DataFrame:
-    return inference.attach_responses(samples.papers(spark, folder), _replies(spark, folder))
+    documents = samples.papers(samples.documents(spark, folder))
+    return inference.attach_responses(documents, _replies(spark, folder))
 
 
 def conversation_batches(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,7 +211,7 @@ def qa_unmarked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def qa_quoted_text(spark: SparkSession, folder: str) -> DataFrame:
-    replies = samples.quality_quotes(samples.documents(spark, folder))
+    replies = samples.quality_quotes(samples.spread_documents(spark, folder))
     return _long_items(parsing.parse_quality(replies))
 
 
@@ -238,7 +242,7 @@ def de_title_rescue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def de_quoted_text(spark: SparkSession, folder: str) -> DataFrame:
-    replies = samples.field_quotes(samples.documents(spark, folder))
+    replies = samples.field_quotes(samples.spread_documents(spark, folder))
     return _long_fields(parsing.parse_extraction(replies))
 
 
@@ -297,7 +301,7 @@ def response_log_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
-    documents = samples.papers(spark, folder)
+    documents = samples.papers(samples.documents(spark, folder))
     attached = inference.attach_responses(documents, _replies(spark, folder))
     return reports.artifacts(documents, attached, SCHEMA.prompt()).select(
         "doc_id", "artifact",
@@ -310,7 +314,8 @@ def report_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """The quality report as it is read back after a whole run has been written."""
     out = f"{shared_folder(spark)}/review-{uuid.uuid4().hex}"
     paths = run_review(
-        samples.papers(spark, folder), _replies(spark, folder), SCHEMA, out, RUN_TS
+        samples.papers(samples.documents(spark, folder)), _replies(spark, folder), SCHEMA, out,
+        RUN_TS,
     )
     keys = T.StructType([T.StructField("doc_id", T.LongType())])
     return read_report(spark, paths.qa_report, SCHEMA.qa_header(), keys)

@@ -21,86 +21,70 @@ PAGE_CHARS = 1000
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, text`` as given, spread over the task slots."""
-    scan = spark.read.parquet(f"{folder}/documents.parquet")
-    return spread(scan.select("doc_id", "text"), "doc_id")
+    """``doc_id, text`` as given."""
+    return spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+
+
+def spread_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over all task slots, for work on the whole texts."""
+    return spread(documents(spark, folder), "doc_id")
 
 
 def document_ids(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id`` alone: where no text is needed, none is read."""
-    scan = spark.read.parquet(f"{folder}/documents.parquet")
-    return spread(scan.select("doc_id"), "doc_id")
+    return spread(documents(spark, folder).select("doc_id"), "doc_id")
 
 
 def named(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("file_name", F.format_string("doc_%d.pdf", "doc_id"))
+    return rows.withColumn("file_name", F.expr("'doc_' || doc_id || '.pdf'"))
 
 
-def papers(spark: SparkSession, folder: str) -> DataFrame:
+def papers(texts: DataFrame) -> DataFrame:
     """``doc_id, file_name, text``; every fiftieth document could not be read."""
-    readable = F.col("doc_id") % 50 != 49
-    return named(documents(spark, folder)).withColumn("text", F.when(readable, F.col("text")))
-
-
-def score(k: int) -> Column:
-    """Score of question ``k``, counted from 0."""
-    d, allowed = F.col("doc_id"), ALLOWED_SCORES[k]
-    h = (d * MULTIPLIERS[k] + F.expr(f"doc_id div {k + 2}")) % 11
-    choice = F.get(F.array(*[F.lit(s) for s in allowed]), (h % len(allowed)).cast("int"))
-    return F.when(h < 7, F.lit(allowed[-1])).otherwise(choice)
+    return named(texts).withColumn("text", F.expr("if(doc_id % 50 = 49, NULL, text)"))
 
 
-def _joined(*parts: Column | str) -> Column:
-    """Parts with the row's ``gap`` between them; a Python string stands for itself."""
-    cells = [F.lit(part) if isinstance(part, str) else part for part in parts]
-    return F.concat_ws("", *[c for cell in cells for c in (F.col("gap"), cell)][1:])
+def _score(k: int) -> str:
+    """Score of question ``k``, counted from 0, as the reply shows it."""
+    allowed = ALLOWED_SCORES[k]
+    h = f"((doc_id * {MULTIPLIERS[k]} + doc_id div {k + 2}) % 11)"
+    choice = f"array({', '.join(f'{s}D' for s in allowed)})[int({h} % {len(allowed)})]"
+    return f"string(if({h} < 7, {allowed[-1]}D, {choice}))"
 
 
-def _item(qid: str, note: str, shown: Column) -> Column:
-    said = F.concat(F.lit(f"{qid}: note "), F.col("doc_id").cast("string"), F.lit(f" {note}"))
-    return _joined(said, F.concat(F.lit(f"{qid}{fv.SCORE_SUFFIX}: "), shown))
+def _item(qid: str, note: str, shown: str) -> str:
+    return f"'{qid}: note ' || doc_id || ' {note}' || gap || '{qid}{fv.SCORE_SUFFIX}: ' || {shown}"
 
 
 def replies(ids: DataFrame) -> DataFrame:
     """``doc_id, file_name, response``, one for each document."""
-    d = F.col("doc_id")
-    kind = d % 12
-    broken_unmarked = d % 24 == 11
-    third = F.when((kind == 7) | broken_unmarked, ".").otherwise("")
-    shown = [score(k).cast("string") for k in range(len(ALLOWED_SCORES))]
-    shown[2] = F.concat(shown[2], third)
-    items = _joined(*[_item(f"QE{k}", f"part {k}", cell) for k, cell in enumerate(shown, 1)])
-    extra = (
-        F.when(kind == 8, _joined("", _item("QE2", "again", F.lit("1.0"))))
-        .when(kind == 9, _joined("", _item("QE9", "again", F.lit("1.0"))))
-        .otherwise("")
-    )
-    fields = _joined(
-        F.concat(F.lit("TITLE: study of item "), d.cast("string")),
-        "AUTHOR: a. writer",
-        F.concat(F.lit("YEAR: "), (d % 25 + 2000).cast("string")),
-        F.concat(F.lit("VISION SYSTEM: camera "), (d % 3).cast("string")),
-    )
+    shown = [_score(k) for k in range(len(ALLOWED_SCORES))]
+    shown[2] += " || if(doc_id % 12 = 7 OR doc_id % 24 = 11, '.', '')"
+    lines = [_item(f"QE{k}", f"part {k}", cell) for k, cell in enumerate(shown, 1)]
+    items = " || gap || ".join(lines) + f""" || CASE doc_id % 12
+        WHEN 8 THEN gap || {_item("QE2", "again", "'1.0'")}
+        WHEN 9 THEN gap || {_item("QE9", "again", "'1.0'")}
+        ELSE '' END"""
+    fields = """concat_ws(gap, 'TITLE: study of item ' || doc_id, 'AUTHOR: a. writer',
+        'YEAR: ' || (2000 + doc_id % 25), 'VISION SYSTEM: camera ' || (doc_id % 3))"""
     glued = f"{fv.QA_START} QE1: a QE1_SCORE:+1 QE2: b QE2_SCORE:-1 {fv.QA_END}"
-    qa = _joined(fv.QA_START, F.col("items"), fv.QA_END)
-    response = (
-        F.when(kind == 3, _joined(qa, fv.DE_START, F.col("fields")))
-        .when(
-            (kind == 5) | broken_unmarked,
-            _joined(F.col("items"), "Data Extraction:", F.col("fields")),
-        )
-        .when(kind == 6, _joined(fv.QA_START, F.col("items")))
-        .when(d % 24 == 10, None)
-        .when(kind == 10, "")
-        .when(kind == 11, _joined(glued, fv.DE_START, F.col("fields"), fv.DE_END))
-        .otherwise(_joined(qa, fv.DE_START, F.col("fields"), fv.DE_END))
-    )
+    response = f"""CASE
+        WHEN doc_id % 12 = 3 THEN
+          concat_ws(gap, '{fv.QA_START}', items, '{fv.QA_END}', '{fv.DE_START}', fields)
+        WHEN doc_id % 12 = 5 OR doc_id % 24 = 11 THEN
+          concat_ws(gap, items, 'Data Extraction:', fields)
+        WHEN doc_id % 12 = 6 THEN concat_ws(gap, '{fv.QA_START}', items)
+        WHEN doc_id % 24 = 10 THEN NULL
+        WHEN doc_id % 12 = 10 THEN ''
+        WHEN doc_id % 12 = 11 THEN
+          concat_ws(gap, '{glued}', '{fv.DE_START}', fields, '{fv.DE_END}')
+        ELSE concat_ws(
+          gap, '{fv.QA_START}', items, '{fv.QA_END}', '{fv.DE_START}', fields, '{fv.DE_END}')
+        END"""
     return (
-        named(ids)
-        .withColumn("gap", F.when(kind == 4, " ").otherwise("\n"))
-        .withColumns({"items": F.concat(items, extra), "fields": fields})
-        .withColumn("response", response)
-        .drop("gap", "items", "fields")
+        named(ids).withColumn("gap", F.expr("if(doc_id % 12 = 4, ' ', chr(10))"))
+        .withColumns({"items": F.expr(items), "fields": F.expr(fields)})
+        .select("doc_id", "file_name", F.expr(response).alias("response"))
     )
 
 
