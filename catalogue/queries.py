@@ -170,7 +170,9 @@ def backoff_cost(spark: SparkSession, folder: str) -> DataFrame:
 
 def attach_responses(spark: SparkSession, folder: str) -> DataFrame:
     documents = samples.papers(samples.documents(spark, folder))
-    return inference.attach_responses(documents, _replies(spark, folder))
+    return inference.attach_responses(
+        inference.without_text(documents), _replies(spark, folder)
+    )
 
 
 def conversation_batches(spark: SparkSession, folder: str) -> DataFrame:
@@ -302,8 +304,10 @@ def response_log_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
     documents = samples.papers(samples.documents(spark, folder))
-    attached = inference.attach_responses(documents, _replies(spark, folder))
-    return reports.artifacts(documents, attached, SCHEMA.prompt()).select(
+    attached = attach_responses(spark, folder)
+    return reports.artifacts(
+        reports.text_previews(documents), attached, SCHEMA.prompt()
+    ).select(
         "doc_id", "artifact",
         F.length("content").cast("bigint").alias("n_chars"),
         F.md5("content").alias("content_md5"),

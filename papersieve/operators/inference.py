@@ -135,14 +135,21 @@ def backoff_cost(
     )
 
 
-def attach_responses(documents: DataFrame, responses: DataFrame) -> DataFrame:
-    """Documents with their reply: ``doc_id, file_name, has_text, response``.
+def without_text(documents: DataFrame) -> DataFrame:
+    """``doc_id, file_name, has_text``: all that a join needs of a document.
 
-    Only the fact that there is a text enters the join, not the text. A document
-    without text was never sent, so a reply recorded for it does not count.
+    Texts are by far the largest column. They are read for this, never shuffled.
     """
     readable = F.coalesce(F.col("text") != "", F.lit(False))
-    known = documents.select("doc_id", "file_name", readable.alias("has_text"))
+    return documents.select("doc_id", "file_name", readable.alias("has_text"))
+
+
+def attach_responses(known: DataFrame, responses: DataFrame) -> DataFrame:
+    """``doc_id, file_name, has_text`` with the ``response`` of each document.
+
+    ``responses`` holds a document at most once, as ``responses()`` makes them. A
+    document without text was never sent: a reply recorded for it does not count.
+    """
     return known.join(responses.select("doc_id", "response"), "doc_id", "left").withColumn(
         "response", F.when(F.col("has_text"), F.col("response"))
     )

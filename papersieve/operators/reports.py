@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersieve import fixed_values as fv
@@ -58,20 +58,26 @@ def log_text(log: DataFrame) -> DataFrame:
     return log.select("doc_id", record.alias("value"))
 
 
-def artifacts(documents: DataFrame, attached: DataFrame, prompt: str) -> DataFrame:
+def text_previews(documents: DataFrame) -> DataFrame:
+    """``doc_id, file_name, preview`` of every document that has a text."""
+    return documents.where(F.col("text") != "").select(
+        "doc_id", "file_name", preview(F.col("text")).alias("preview")
+    )
+
+
+def artifacts(previews: DataFrame, attached: DataFrame, prompt: str) -> DataFrame:
     """``doc_id, artifact, content``: the prompt, the opening of the text, the reply.
 
-    Each kind reads its own columns. The texts are scanned but never shuffled,
-    which carrying them through the join with the replies would do.
+    Each kind reads its own columns. The openings of the texts come straight
+    from the scan and do not pass the join with the replies.
     """
-    def kind(rows: DataFrame, suffix: str, content) -> DataFrame:
+    def kind(rows: DataFrame, suffix: str, content: Column) -> DataFrame:
         name = F.concat(file_stem(F.col("file_name")), F.lit(f"_{suffix}.txt"))
         return rows.select("doc_id", name.alias("artifact"), content.alias("content"))
 
-    with_text = documents.where(F.col("text") != "")
     with_reply = attached.where(F.col("response") != "")
     return (
-        kind(documents, "prompt", F.lit(prompt))
-        .unionByName(kind(with_text, "pdf_extract", preview(F.col("text"))))
+        kind(attached, "prompt", F.lit(prompt))
+        .unionByName(kind(previews, "pdf_extract", F.col("preview")))
         .unionByName(kind(with_reply, "response", F.col("response")))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papersieve import fixed_values as fv
-from papersieve.operators.inference import attach_responses
+from papersieve.operators.inference import attach_responses, without_text
 from papersieve.operators.parsing import parse_extraction, parse_quality
 from papersieve.operators.reports import (
     artifacts,
@@ -17,6 +17,7 @@ from papersieve.operators.reports import (
     manifest,
     quality_report,
     response_log,
+    text_previews,
 )
 from papersieve.operators.triage import triage
 from papersieve.schema import ReviewSchema
@@ -46,7 +47,7 @@ def review_replies(
 
 def review(documents: DataFrame, responses: DataFrame, schema: ReviewSchema) -> DataFrame:
     """Decisions for documents and their recorded replies; one join is all it shuffles."""
-    return review_replies(attach_responses(documents, responses), schema)
+    return review_replies(attach_responses(without_text(documents), responses), schema)
 
 
 def report_paths(folder: str) -> Reports:
@@ -76,7 +77,10 @@ def run_review(
     """
     spark = documents.sparkSession
     paths = report_paths(folder)
-    todo = documents if earlier is None else pending_documents(documents, earlier)
+    todo, previews = without_text(documents), text_previews(documents)
+    if earlier is not None:
+        todo = pending_documents(todo, earlier)
+        previews = pending_documents(previews, earlier)
 
     def write(table: DataFrame, path: str, *partitions: str, source: str = source) -> None:
         writer = table.withColumn("run_ts", F.lit(run_ts)).write.format(source)
@@ -84,14 +88,14 @@ def run_review(
             writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.mode("overwrite").partitionBy("run_ts", *partitions).save(path)
 
-    decided = review(todo, responses, schema)
+    decided = review_replies(attach_responses(todo, responses), schema)
     write(decided, paths.decisions, "status", source="parquet")
     decisions = read_decisions(spark, paths.decisions, decided.schema, run_ts)
 
     write(quality_report(decisions, schema, "doc_id"), paths.qa_report)
     write(extraction_report(decisions, schema, "doc_id"), paths.de_report)
     write(response_log(decisions, run_ts), paths.response_log)
-    write(artifacts(todo, decisions, schema.prompt()), paths.artifacts)
+    write(artifacts(previews, decisions, schema.prompt()), paths.artifacts)
     write(manifest(decisions), paths.manifest, "status")
     return paths
 

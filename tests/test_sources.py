@@ -53,13 +53,13 @@ def test_decode_and_assemble(spark, folder):
         return content.decode().split("|")
 
     pages = corpus.decode_pages(corpus.read_files(spark, str(folder)), decoder)
-    texts = {
-        r["path"].rsplit("/", 1)[1]: r["text"]
-        for r in corpus.assemble_text(pages, "path").collect()
-    }
-    assert texts == {
-        "a.pdf": "page one of a.pdfpage two", "b.PDF": None, "e.Pdf": "page one of e.Pdfpage two"
-    }
+    whole = corpus.decode_text(corpus.read_files(spark, str(folder)), decoder)
+    for table in (corpus.assemble_text(pages, "path"), whole):
+        texts = {r["path"].rsplit("/", 1)[1]: r["text"] for r in table.collect()}
+        assert texts == {
+            "a.pdf": "page one of a.pdfpage two", "b.PDF": None,
+            "e.Pdf": "page one of e.Pdfpage two",
+        }
 
 
 def test_assemble_text_order_and_gaps(spark):
