@@ -42,14 +42,14 @@ def _extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _reviewed(spark: SparkSession, folder: str) -> DataFrame:
-    documents = samples.papers(samples.documents(spark, folder))
-    return review(documents, _replies(spark, folder), SCHEMA)
+    return review(samples.known_papers(spark, folder), _replies(spark, folder), SCHEMA)
 
 
 def _reviewed_all_readable(spark: SparkSession, folder: str) -> DataFrame:
     """The review where every document has a text: title, exclusion, cutoff."""
-    documents = samples.named(samples.documents(spark, folder))
-    return review(documents, _replies(spark, folder), SCHEMA)
+    documents = samples.named(samples.document_ids(spark, folder))
+    known = documents.withColumn("has_text", F.lit(True))
+    return review(known, _replies(spark, folder), SCHEMA)
 
 
 # Sources ----------------------------------------------------------------------
@@ -252,8 +252,8 @@ def de_quoted_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def resolve_title(spark: SparkSession, folder: str) -> DataFrame:
     ids = samples.document_ids(spark, folder)
-    documents = ids.withColumn("text", F.lit("known")).transform(samples.named)
-    decided = review(documents, samples.title_fields(ids), SCHEMA)
+    known = samples.named(ids).withColumn("has_text", F.lit(True))
+    decided = review(known, samples.title_fields(ids), SCHEMA)
     return decided.select(
         "doc_id", "title", "has_title", file_stem(F.col("file_name")).alias("stem")
     )

@@ -39,6 +39,13 @@ def named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("file_name", F.expr("'doc_' || doc_id || '.pdf'"))
 
 
+def known_papers(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, file_name, has_text`` of the papers, from the character counts."""
+    counts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "n_chars")
+    has_text = F.expr("n_chars > 0 AND doc_id % 50 != 49")
+    return named(counts).select("doc_id", "file_name", has_text.alias("has_text"))
+
+
 def papers(texts: DataFrame) -> DataFrame:
     """``doc_id, file_name, text``; every fiftieth document could not be read."""
     return named(texts).withColumn("text", F.expr("if(doc_id % 50 = 49, NULL, text)"))

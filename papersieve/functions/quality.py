@@ -5,6 +5,9 @@ An item is ``STRUCT<qid, descr, score>``; items keep the order of the reply.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +26,12 @@ def _item(qid: Column, descr: Column, score: Column) -> Column:
     return F.struct(qid.alias("qid"), clean.alias("descr"), score.alias("score"))
 
 
+def _where_contained(text: Column, needed: list[str], found: Column, kind: str) -> Column:
+    """``found`` where the text holds one of the needed strings, else an empty array."""
+    absent = ~reduce(or_, [F.contains(text, F.lit(part)) for part in needed])
+    return F.when(absent, F.array().cast(kind)).otherwise(found)
+
+
 def _scored(items: Column) -> Column:
     return F.filter(items, lambda item: item["score"].isNotNull())
 
@@ -33,7 +42,9 @@ def marked_matches(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
     ``id_pattern`` must hold no capturing group and match no colon.
     """
     pattern = rf"(?s)({id_pattern}):.*?\1{fv.SCORE_SUFFIX}:{fv.SPACE}*+[0-9.]+"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    spans = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # Every id would search the whole rest of a text that holds no score marker.
+    return _where_contained(text, [fv.SCORE_SUFFIX + ":"], spans, "array<string>")
 
 
 def marked_items(matches: Column) -> Column:
@@ -68,7 +79,6 @@ def positional_items(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
     is mentioned twice yields its item twice.
     """
     ids = F.regexp_extract_all(text, F.lit(rf"({id_pattern}):"), F.lit(1))
-    others = F.array_distinct(ids)
 
     def place(qid: Column) -> Column:
         label = F.concat(qid, F.lit(":"))
@@ -82,19 +92,16 @@ def positional_items(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
             F.length(marker).alias("marker_size"),
         )
 
-    def next_other(part: Column) -> Column:
-        elsewhere = F.transform(
-            F.filter(others, lambda other: other != part["qid"]),
-            lambda other: F.position(F.concat(other, F.lit(":")), text, part["begin"]),
-        )
-        return F.array_min(F.filter(elsewhere, lambda at: at > 0))
-
     def item(part: Column) -> Column:
-        # least() passes over a missing next id
-        stop = F.least(part["scored_at"], next_other(part))
+        answer = F.substr(text, part["begin"], part["scored_at"] - part["begin"])
+        # the answer ends early where another id is mentioned
+        other = F.concat(
+            F.lit(r"(?!\Q"), part["qid"], F.lit(r":\E)" + f"(?:{id_pattern}):")
+        )
+        # (regexp_instr would count characters beyond the first plane twice)
+        descr = F.get(F.split(answer, other, 2), F.lit(0))
         tail = F.substr(text, part["scored_at"] + part["marker_size"])
-        score = number(F.substring_index(tail, " ", 1))
-        return _item(part["qid"], F.substr(text, part["begin"], stop - part["begin"]), score)
+        return _item(part["qid"], descr, number(F.substring_index(tail, " ", 1)))
 
     found = F.filter(F.transform(ids, place), lambda part: part["scored_at"] > 0)
     return _scored(F.transform(found, item))
@@ -113,10 +120,11 @@ def unmarked_items(response: Column, id_pattern: str = fv.QUESTION_ID) -> Column
         F.regexp_extract_all(response, F.lit(pattern), F.lit(group)).alias(name)
         for group, name in ((1, "qid"), (2, "descr"), (3, "score"))
     ]
-    return F.transform(
+    items = F.transform(
         F.arrays_zip(*groups),
         lambda hit: _item(hit["qid"], hit["descr"], hit["score"].try_cast("double")),
     )
+    return _where_contained(response, ["Score", fv.SCORE_SUFFIX], items, ITEM_TYPE)
 
 
 def total_score(items: Column) -> Column:

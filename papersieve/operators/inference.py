@@ -138,8 +138,11 @@ def backoff_cost(
 def without_text(documents: DataFrame) -> DataFrame:
     """``doc_id, file_name, has_text``: all that a join needs of a document.
 
-    Texts are by far the largest column. They are read for this, never shuffled.
+    Texts are by far the largest column. They are never shuffled, and not even
+    read where the documents come with a ``has_text`` column already.
     """
+    if "has_text" in documents.columns:
+        return documents.select("doc_id", "file_name", "has_text")
     readable = F.coalesce(F.col("text") != "", F.lit(False))
     return documents.select("doc_id", "file_name", readable.alias("has_text"))
 

@@ -42,6 +42,8 @@ def decode_pages(files: DataFrame, decoder: Callable[[bytes], list[str | None]])
 
     ``decoder`` turns the bytes of one file into its page texts in order. A file
     it fails on gets one page without text, which makes the document unreadable.
+    Files reach it in batches of ``spark.sql.execution.arrow.maxRecordsPerBatch``
+    rows; lower that setting where files are large.
     """
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
