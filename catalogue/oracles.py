@@ -213,7 +213,7 @@ made AS (
          CASE WHEN event_type IN ('click', 'view') THEN 'ok'
               WHEN event_type IN ('signup', 'purchase') THEN 'retry' ELSE 'fatal' END AS kind,
          CASE WHEN event_type = 'click' THEN 'reply ' || props END AS reply
-  FROM events WHERE event_id % 4 < 3
+  FROM events WHERE event_id % 4 + 1 <= 3
 ),
 ends AS (
   SELECT doc_id, min(attempt) FILTER (kind <> 'retry') AS ended, max(attempt) AS reached
@@ -324,7 +324,7 @@ WITH asked AS (
 ), wanted AS (
   SELECT o_custkey, string_agg('* ORDER ' || o_orderstatus || ': ' || o_orderpriority || chr(10), ''
     ORDER BY o_orderkey) AS lines
-  FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey
+  FROM orders GROUP BY o_custkey
 )
 SELECT c_custkey AS review_id, CASE WHEN a.lines IS NULL OR w.lines IS NULL THEN '' ELSE
   {_text(fv.PROMPT_OPENING)} || a.lines || {_text(fv.PROMPT_FIELDS_HEADING)} || w.lines

@@ -152,8 +152,13 @@ def attach_responses(known: DataFrame, responses: DataFrame) -> DataFrame:
 
     ``responses`` holds a document at most once, as ``responses()`` makes them. A
     document without text was never sent: a reply recorded for it does not count.
+
+    The join merges. Spark's size estimate of a text column is too rough to
+    broadcast replies by, and the parsing that follows runs in the partitions
+    of the join, not in the few splits a list of documents may have.
     """
-    return known.join(responses.select("doc_id", "response"), "doc_id", "left").withColumn(
+    replies = responses.select("doc_id", "response").hint("merge")
+    return known.join(replies, "doc_id", "left").withColumn(
         "response", F.when(F.col("has_text"), F.col("response"))
     )
 

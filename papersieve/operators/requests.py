@@ -39,7 +39,7 @@ def render_prompts(
         F.lit(fv.PROMPT_CUTOFF), F.col("cutoff").cast("string"), F.lit(fv.PROMPT_CLOSING),
     )
     return (
-        reviews.join(asked, key, "left").join(wanted, key, "left")
+        reviews.join(asked.hint("merge"), key, "left").join(wanted.hint("merge"), key, "left")
         .select(key, F.coalesce(prompt, F.lit("")).alias("prompt"))
     )
 

@@ -89,10 +89,13 @@ def assemble_text(pages: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def with_text(documents: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents with their text; one that has no page at all has the empty text."""
+    """Documents with their text; one that has no page at all has the empty text.
+
+    Texts are never broadcast: the join reuses the partitions they were assembled in.
+    """
     texts = assemble_text(pages, key).withColumn("_paged", F.lit(True))
     return (
-        documents.join(texts, key, "left")
+        documents.join(texts.hint("merge"), key, "left")
         .withColumn("text", F.when(F.col("_paged"), F.col("text")).otherwise(F.lit("")))
         .drop("_paged")
     )

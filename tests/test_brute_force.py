@@ -22,16 +22,34 @@ PIECES = [
 ]
 
 
+ITEMS = [
+    "QE1: note QE1_SCORE: 1.0\n", "QE2: a \"b\" QE2_SCORE:0.5 ", "QE12: x\nQE12_SCORE:\t2 ",
+    "QE2: y QE2_SCORE: 1.0. ", "QE7: none given ", "QE7: z QE7_SCORE: 0 ", "QE1: again QE1_SCORE:+1 ",
+    "QE8 Score 1", "QE8. loose QE8Score: 0.5 ", "QE3: QE3_SCORE: 7\n", "QE1_SCORE: 0 ",
+]
+FIELDS = [
+    "TITLE: A Study\n", "YEAR:\n", "YEAR: 2020 ", "AUTHOR: Ann Lee IEEE\n", "USE OF CAD MODEL: no ",
+    "DOF OF ARM : 6\n", "Title: mixed case\n", "note: lower\n", "NEW\nLINE: x ", "A: one letter ",
+]
+SECTIONS = {
+    "QA": ("==QUALITY_ASSESSMENT_START==", "==QUALITY_ASSESSMENT_END=="),
+    "DE": ("==DATA_EXTRACTION_START==", "==DATA_EXTRACTION_END=="),
+    "heading": ("Data Extraction:\n", ""),
+    "bare": ("", ""),
+}
+
+
 def random_replies(count, seed):
+    """Replies from broken to whole: one or two sections, each with pieces of some pool."""
     rng = random.Random(seed)
-    heads = [
-        ["==QUALITY_ASSESSMENT_START=="], ["==DATA_EXTRACTION_START=="], ["Data Extraction"], [],
-    ]
-    tails = [["==QUALITY_ASSESSMENT_END=="], ["==DATA_EXTRACTION_END=="], []]
-    return [
-        "".join([*rng.choice(heads), *rng.choices(PIECES, k=rng.randint(1, 24)), *rng.choice(tails)])
-        for _ in range(count)
-    ]
+
+    def part():
+        opening, closing = SECTIONS[rng.choice(list(SECTIONS))]
+        pool = rng.choice([PIECES, ITEMS, FIELDS, ITEMS + PIECES, FIELDS + PIECES])
+        body = "".join(rng.choices(pool, k=rng.randint(0, 14)))
+        return opening + body + (closing if rng.random() < 0.85 else "")
+
+    return [part() + (part() if rng.random() < 0.6 else "") for _ in range(count)]
 
 
 def check(rows, schema=None):
