@@ -45,9 +45,15 @@ def review_replies(
     return triage(parse_extraction(parse_quality(attached, id_pattern=id_pattern)), schema)
 
 
-def review(documents: DataFrame, responses: DataFrame, schema: ReviewSchema) -> DataFrame:
+def review(
+    documents: DataFrame,
+    responses: DataFrame,
+    schema: ReviewSchema,
+    id_pattern: str = fv.QUESTION_ID,
+) -> DataFrame:
     """Decisions for documents and their recorded replies; one join is all it shuffles."""
-    return review_replies(attach_responses(without_text(documents), responses), schema)
+    attached = attach_responses(without_text(documents), responses)
+    return review_replies(attached, schema, id_pattern)
 
 
 def report_paths(folder: str) -> Reports:
@@ -63,6 +69,8 @@ def run_review(
     mode: str = "overwrite",
     source: str = "parquet",
     earlier: DataFrame | None = None,
+    id_pattern: str = fv.QUESTION_ID,
+    options: dict[str, str] | None = None,
 ) -> Reports:
     """Review what is pending and write every report table below ``folder``.
 
@@ -73,8 +81,11 @@ def run_review(
 
     ``overwrite`` starts all tables anew. ``append`` keeps the other runs and
     replaces only the partition of this ``run_ts``, so it can be repeated.
-    ``earlier`` is the manifest of former runs.
+    ``earlier`` is the manifest of former runs, see ``read_manifest``. ``source``
+    and ``options`` are the format of the reports; the decisions are Parquet.
     """
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode must be overwrite or append, not {mode}")
     spark = documents.sparkSession
     paths = report_paths(folder)
     todo, previews = without_text(documents), text_previews(documents)
@@ -82,14 +93,20 @@ def run_review(
         todo = pending_documents(todo, earlier)
         previews = pending_documents(previews, earlier)
 
-    def write(table: DataFrame, path: str, *partitions: str, source: str = source) -> None:
-        writer = table.withColumn("run_ts", F.lit(run_ts)).write.format(source)
+    def write(
+        table: DataFrame,
+        path: str,
+        *partitions: str,
+        source: str = source,
+        options: dict[str, str] = options or {},
+    ) -> None:
+        writer = table.withColumn("run_ts", F.lit(run_ts)).write.format(source).options(**options)
         if mode == "append":
             writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.mode("overwrite").partitionBy("run_ts", *partitions).save(path)
 
-    decided = review_replies(attach_responses(todo, responses), schema)
-    write(decided, paths.decisions, "status", source="parquet")
+    decided = review_replies(attach_responses(todo, responses), schema, id_pattern)
+    write(decided, paths.decisions, "status", source="parquet", options={})
     decisions = read_decisions(spark, paths.decisions, decided.schema, run_ts)
 
     write(quality_report(decisions, schema, "doc_id"), paths.qa_report)

@@ -8,6 +8,21 @@ from pyspark.sql import types as T
 
 from papersieve.schema import header_type
 
+DOC_ID = T.StructType([T.StructField("doc_id", T.LongType())])
+
+
+def _read(
+    spark: SparkSession, path: str, columns: T.StructType, source: str, options: dict[str, str]
+) -> DataFrame:
+    """Named columns of a written table; no rows where none was written."""
+    try:
+        rows = spark.read.format(source).schema(columns).options(**options).load(path)
+        return rows.select(*[f"`{name}`" for name in columns.names])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], columns)
+
 
 def read_report(
     spark: SparkSession,
@@ -15,13 +30,27 @@ def read_report(
     header: list[str],
     keys: T.StructType | None = None,
     source: str = "parquet",
+    options: dict[str, str] | None = None,
 ) -> DataFrame:
-    """A written report with its header columns; no rows where none was written."""
+    """A written report: the ``keys`` if any, then its header columns."""
     columns = T.StructType([*(keys or T.StructType()).fields, *header_type(header).fields])
-    try:
-        rows = spark.read.format(source).schema(columns).load(path)
-        return rows.select(*[f"`{name}`" for name in columns.names])
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], columns)
+    return _read(spark, path, columns, source, options or {})
+
+
+def read_manifest(
+    spark: SparkSession,
+    path: str,
+    keys: T.StructType = DOC_ID,
+    source: str = "parquet",
+    options: dict[str, str] | None = None,
+) -> DataFrame:
+    """The manifest of all runs so far, as ``run_review`` takes it for ``earlier``.
+
+    Only the columns that tell what is decided, so that little is read. Giving
+    their types keeps ``run_ts`` text.
+    """
+    text = T.StringType()
+    columns = T.StructType(
+        [*keys.fields, T.StructField("run_ts", text), T.StructField("status", text)]
+    )
+    return _read(spark, path, columns, source, options or {})

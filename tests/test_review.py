@@ -13,7 +13,7 @@ from papersieve import fixed_values as fv
 from papersieve.operators import parsing, reports
 from papersieve.operators.triage import excluded_by_join
 from papersieve.plans.review import report_paths, review, review_replies, run_review
-from papersieve.sources.reports import read_report
+from papersieve.sources.reports import read_manifest, read_report
 from papersieve.streaming.review import start_review
 from tests.conftest import SMALL
 
@@ -68,13 +68,12 @@ def test_append_goes_on_with_what_is_pending(spark, schema, inputs, tmp_path):
     paths = run_review(
         documents.where("doc_id < 100"), replies, schema, out, "2024-06-01 00:00:00", mode="append"
     )
-    first = spark.read.parquet(paths.manifest)
+    first = read_manifest(spark, paths.manifest)
+    assert first.columns == ["doc_id", "run_ts", "status"]
     decided = first.where(F.col("status").isin(*fv.DECIDED)).count()
     second_run = "2024-06-02 00:00:00"
     for _ in range(2):  # a run that is repeated replaces its own rows only
-        earlier = spark.read.parquet(paths.manifest).where(
-            F.col("run_ts").cast("string") != second_run
-        )
+        earlier = read_manifest(spark, paths.manifest).where(F.col("run_ts") != second_run)
         run_review(documents, replies, schema, out, second_run, mode="append", earlier=earlier)
     both = spark.read.parquet(paths.manifest)
     assert both.count() == 100 + documents.count() - decided
@@ -86,10 +85,16 @@ def test_append_goes_on_with_what_is_pending(spark, schema, inputs, tmp_path):
     )
 
 
-@pytest.mark.parametrize("source", ["json", "orc"])
-def test_other_report_formats(spark, schema, inputs, tmp_path, source):
-    paths = run_review(*inputs, schema, str(tmp_path / "out"), RUN_TS, source=source)
-    found = read_report(spark, paths.qa_report, schema.qa_header(), KEY, source)
+@pytest.mark.parametrize("source, options", [
+    ("json", {}),
+    ("orc", {}),
+    ("csv", {"header": "true", "multiLine": "true", "escape": '"', "nullValue": "-"}),
+])
+def test_other_report_formats(spark, schema, inputs, tmp_path, source, options):
+    paths = run_review(
+        *inputs, schema, str(tmp_path / "out"), RUN_TS, source=source, options=options
+    )
+    found = read_report(spark, paths.qa_report, schema.qa_header(), KEY, source, options)
     assert rows(found) == rows(reports.quality_report(review(*inputs, schema), schema, "doc_id"))
 
 
@@ -204,5 +209,14 @@ def test_every_query_has_sql():
     assert set(ORACLES) == set(QUERIES)
 
 
+def test_nothing_is_decided_before_the_first_run(spark, tmp_path):
+    assert read_manifest(spark, str(tmp_path / "manifest")).count() == 0
+
+
+def test_unknown_mode(schema, inputs, tmp_path):
+    with pytest.raises(ValueError):
+        run_review(*inputs, schema, str(tmp_path / "out"), RUN_TS, mode="errorifexists")
+
+
 def test_paths():
     assert report_paths("x/").qa_report == os.path.join("x", "qa_report")
