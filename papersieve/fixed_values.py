@@ -29,9 +29,11 @@ TITLE = "TITLE"
 TITLE_KEYS = ("TITLE", "Title", "title")
 
 # --- Fixed values: fields of a marked data-extraction section. The quantifiers
-# are possessive where giving characters back could never lead to a match.
+# are possessive where giving characters back could never lead to a match, and
+# visible ASCII, which cannot end a value, is ruled out first: that is cheaper
+# than the search for all kinds of space.
 FIELD_KEY = rf"[A-Z][A-Z{SPACE_RANGE}]++:"
-FIELD = rf"(?s){FIELD_KEY}{SPACE}*+.*?(?={SPACE}++{FIELD_KEY}|\z)"
+FIELD = rf"(?s){FIELD_KEY}{SPACE}*+.*?(?![!-~])(?={SPACE}++{FIELD_KEY}|\z)"
 # Letters that equal an ASCII letter when case is ignored, the dotted and dotless
 # i, the long s and the Kelvin sign included.
 ANY_CASE_LETTER = r"[A-Za-z\x{130}\x{131}\x{17f}\x{212a}]"
