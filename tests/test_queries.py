@@ -27,7 +27,7 @@ def ordered(records):
     return sorted(records, key=lambda record: [(cell is None, str(cell)) for cell in record])
 
 
-@pytest.mark.parametrize("name", registered.queries())
+@pytest.mark.parametrize("name", registered.oracle_sql())
 def test_query(spark, database, name):
     found = registered.queries()[name](spark, SMALL)
     columns = sorted(found.columns)
