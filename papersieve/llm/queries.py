@@ -32,9 +32,13 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     base = F.filter("spans", lambda s: s["base"])
+
+    def n_of(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+
     return found.select(
         "doc_id",
-        *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS),
+        *(n_of(kind).alias(f"n_{kind}") for kind in pii.KINDS),
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: ~s["base"])).cast("bigint").alias("n_found"),
