@@ -93,9 +93,14 @@ def _instances(documents: DataFrame) -> DataFrame:
     found = found.withColumn("end", F.sum(F.col("gap") + size).over(so_far).cast("bigint"))
     found = found.withColumn("start", F.col("end") - size).where(_valid(F.col("kind"), F.col("value")))
     base = F.col("kind") != "token"
-    by_place = Window.partitionBy("text_digest").orderBy("start", "end")
-    reached = F.max(F.when(base, F.col("end"))).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    coming = F.min(F.when(base, F.col("start"))).over(by_place.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # two running frames, one from each end: a frame up to the end of the text would be gone through for each row
+    place = ("start", "end", "kind")
+    forward, backward = (
+        Window.partitionBy("text_digest").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        for order in (place, [F.desc(c) for c in place])
+    )
+    reached = F.max(F.when(base, F.col("end"))).over(forward)
+    coming = F.min(F.when(base, F.col("start"))).over(backward)
     free = (F.coalesce(reached, F.lit(0)) <= F.col("start")) & (F.coalesce(coming, F.col("end")) >= F.col("end"))
     likely = F.col("value").contains("@") | (F.length(_digits(F.col("value"))) >= FEWEST_DIGITS)
     return found.withColumn("free", free).where(base | (F.col("free") & likely)).select(
