@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import mix, word_blocks
@@ -125,15 +125,18 @@ def text_bands(texts: list[str], weighted: bool = False) -> list[np.ndarray | No
     return out
 
 
+def weighted_shingles(text: str, weighted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a whole text, sorted, and their weights: 1, or how often each occurs."""
+    found = np.concatenate([shingles(h, r)[0] for *_, h, r in word_blocks([text])])
+    distinct, counts = np.unique(found, return_counts=True)
+    return distinct, counts if weighted else np.ones(len(counts), np.int64)
+
+
 def similarity(a: str, b: str, weighted: bool = False) -> float:
     """Jaccard similarity of the shingles of two whole texts; weighted: each as often as it occurs."""
-    (x, n), (y, m) = (
-        np.unique(np.concatenate([shingles(h, r)[0] for *_, h, r in word_blocks([t])]), return_counts=True)
-        for t in (a, b)
-    )
+    (x, n), (y, m) = (weighted_shingles(t, weighted) for t in (a, b))
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    common = np.minimum(n[i], m[j]).sum() if weighted else len(i)
-    total = n.sum() + m.sum() if weighted else len(x) + len(y)
+    common, total = np.minimum(n[i], m[j]).sum(), n.sum() + m.sum()
     return float(common / (total - common)) if total else 0.0
 
 
@@ -165,6 +168,65 @@ def _texts_of(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(found.groupBy("text_digest").agg(F.first("text").alias("text")))
 
 
+def _shingle_rows(texts: DataFrame, weighted: bool) -> DataFrame:
+    """``text_digest``, ``shingle``, ``weight``, stored."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, weights = weighted_shingles(text, weighted)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(weights)],
+                    ["text_digest", "shingle", "weight"],
+                )
+
+    return stored(
+        texts.select("text_digest", "text").mapInArrow(listed, "text_digest string, shingle bigint, weight bigint")
+    )
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one component."""
+    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return placed.join(mixed.where("low < high").select("band"), "band")
+
+
+def _still_apart(placed: DataFrame, texts: DataFrame, least: float, weighted: bool) -> DataFrame:
+    """Pairs (``a``, ``b``) of different components, from mixed buckets, that can be similar at all.
+
+    Similar texts have ``least / (1 + least)`` of their joint weight in common.
+    So of all shingles of a text, rarest first, one must be shared among the
+    first few: those that outweigh what it may lack of the smallest text in its
+    buckets. Texts that have only a widespread passage in common share none.
+    """
+    apart = stored(_mixed(placed))
+    named = apart.select("text_digest", "component").distinct()
+    rows = _shingle_rows(texts.join(named, "text_digest", "left_semi"), weighted)
+    measured = stored(named.join(rows.groupBy("text_digest").agg(F.sum("weight").alias("size")), "text_digest"))
+    inside = apart.select("band", "text_digest").join(measured, "text_digest")
+    smallest = inside.groupBy("band").agg(F.min("size").alias("smallest"))
+    partner = inside.join(smallest, "band").groupBy("text_digest").agg(F.min("smallest").alias("smallest"))
+    lack = F.col("size") - (F.col("size") + F.col("smallest")) * (least / (1 + least)) + 1e-6
+
+    texts_with = rows.groupBy("shingle").agg(F.count("*").alias("texts"))
+    rare_first = Window.partitionBy("text_digest").orderBy("texts", "shingle")
+    before = F.sum("weight").over(rare_first) - F.col("weight")
+    first = (
+        rows.join(texts_with, "shingle").withColumn("before", before)
+        .join(measured.join(partner, "text_digest"), "text_digest")
+        .where((F.col("before") <= lack) & (F.col("texts") > 1))
+        .select("shingle", "text_digest", "component", "size")
+    )
+    first = stored(first)
+    meeting = first.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    first = first.join(meeting.where("low < high").select("shingle"), "shingle")
+    other = first.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("text_digest", "component", "size")))
+    return first.join(other, "shingle").where(
+        (F.col("component") < F.col("other_component"))
+        & (F.least("size", "other_size") >= F.greatest("size", "other_size") * least - 1e-6)
+    ).select(F.col("text_digest").alias("a"), F.col("other_text_digest").alias("b")).distinct()
+
+
 def near_duplicates(
     documents: DataFrame, least: float = SIMILARITY, weighted: bool = False
 ) -> DataFrame:
@@ -177,10 +239,12 @@ def near_duplicates(
     without any word is linked to equal texts only. A null text is in no
     class (null digests). Repeated rows each get their row.
 
-    Each band bucket links its members to one hub first. What is still apart
-    within a bucket after that is compared across components, so that every
-    pair sharing a bucket is either compared or already in one class; a
-    group of many similar texts costs about one comparison each.
+    Each band bucket links its members to one hub first: the member that meets
+    most texts over all its buckets, so the original rather than one of its
+    altered copies. What is still apart within a bucket after that is compared
+    across components, if the rarest shingles of two texts allow it. So every
+    pair that shares a bucket is compared, or cannot be similar, or is in one
+    class already; a group of many similar texts costs about one comparison each.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +265,12 @@ def near_duplicates(
         .select("text_digest", F.explode("bands").alias("band"))
     )
     marks = stored(marks)
-    hubs = marks.groupBy("band").agg(F.min("text_digest").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = stored(marks.join(hubs, "band").select("band", "text_digest", "hub"))
+    shared = marks.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(marks.join(shared, "band"))
+    popular = members.groupBy("text_digest").agg(F.sum("n").alias("popularity"))
+    members = stored(members.drop("n").join(popular, "text_digest"))
+    hubs = members.groupBy("band").agg(F.max(F.struct("popularity", "text_digest"))["text_digest"].alias("hub"))
+    members = stored(members.join(hubs, "band").select("band", "text_digest", "hub"))
     pairs = stored(members.where("text_digest <> hub").select(F.col("text_digest").alias("a"), F.col("hub").alias("b")).distinct())
     texts = _texts_of(documents, pairs)
     links = _verified(pairs, texts, least, weighted)
@@ -211,12 +279,8 @@ def near_duplicates(
     placed = members.join(found, members["text_digest"] == found["node"], "left").select(
         "band", "text_digest", F.coalesce("component", "text_digest").alias("component")
     )
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    apart = stored(placed.join(mixed.select("band"), "band"))
-    other = apart.select("band", F.col("text_digest").alias("b"), F.col("component").alias("other"))
     rest = (
-        apart.withColumnRenamed("text_digest", "a").join(other, "band").where("component < other")
-        .select("a", "b").distinct()
+        _still_apart(placed, texts, least, weighted)
         .join(pairs, ["a", "b"], "left_anti")
         .join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     )
