@@ -332,9 +332,8 @@ SELECT c_custkey AS review_id, CASE WHEN a.lines IS NULL OR w.lines IS NULL THEN
 FROM customer LEFT JOIN asked a ON a.o_custkey = c_custkey LEFT JOIN wanted w ON w.o_custkey = c_custkey""",
     "compose_prompt": f"""
 WITH m AS (
-  SELECT doc_id, CASE WHEN doc_id % 50 = 49 OR text = '' THEN {_PROMPT_TEXT}
-    ELSE {_text(fv.CONTENT_HEADING)} || {_shortened(CONTENT_LIMIT, fv.TRUNCATION_NOTICE)}
-      || {_text(fv.TASK_HEADING)} || {_PROMPT_TEXT} END AS message
+  SELECT doc_id, CASE WHEN text = '' THEN {_PROMPT_TEXT}
+    ELSE {_text(fv.CONTENT_HEADING)} || text || {_text(fv.TASK_HEADING)} || {_PROMPT_TEXT} END AS message
   FROM documents
 )
 SELECT doc_id, length(message)::BIGINT AS n_chars, md5(message) AS message_md5 FROM m""",
@@ -343,7 +342,7 @@ SELECT doc_id, '{MODEL}' AS model, {fv.TEMPERATURE}::DOUBLE AS temperature,
        {fv.MAX_TOKENS}::BIGINT AS max_tokens, false AS stream, 'system,user' AS roles,
        {_text(fv.SYSTEM_MESSAGE)} AS system_message,
        md5({_text(fv.CONTENT_HEADING)} || text || {_text(fv.TASK_HEADING)} || {_PROMPT_TEXT}) AS user_md5
-FROM documents WHERE doc_id % 50 <> 49 AND text <> ''""",
+FROM documents WHERE text <> ''""",
     "extract_reply": """
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'reply ' || doc_id END AS reply FROM documents""",
     "resolve_attempts": f"""

@@ -60,7 +60,7 @@ def pending(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def assemble_pages(spark: SparkSession, folder: str) -> DataFrame:
-    texts = samples.spread_documents(spark, folder)
+    texts = samples.documents(spark, folder)
     return with_text(samples.document_ids(spark, folder), samples.pages(texts)).select(
         "doc_id", "text"
     )
@@ -114,9 +114,9 @@ def render_prompt(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compose_prompt(spark: SparkSession, folder: str) -> DataFrame:
-    message = requests.full_prompt(F.col("text"), SCHEMA.prompt(), CONTENT_LIMIT)
+    message = requests.full_prompt(F.col("text"), SCHEMA.prompt())
     return (
-        samples.papers(samples.spread_documents(spark, folder))
+        samples.named(samples.documents(spark, folder))
         .select("doc_id", message.alias("message"))
         .select(
             "doc_id",
@@ -127,7 +127,7 @@ def compose_prompt(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chat_payload(spark: SparkSession, folder: str) -> DataFrame:
-    documents = samples.papers(samples.spread_documents(spark, folder))
+    documents = samples.named(samples.documents(spark, folder))
     sent = requests.requests(documents, SCHEMA.prompt(), MODEL)
     shape = (
         "model string, messages array<struct<role:string,content:string>>, "
@@ -213,7 +213,7 @@ def qa_unmarked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def qa_quoted_text(spark: SparkSession, folder: str) -> DataFrame:
-    replies = samples.quality_quotes(samples.spread_documents(spark, folder))
+    replies = samples.quality_quotes(samples.documents(spark, folder))
     return _long_items(parsing.parse_quality(replies))
 
 
@@ -244,7 +244,7 @@ def de_title_rescue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def de_quoted_text(spark: SparkSession, folder: str) -> DataFrame:
-    replies = samples.field_quotes(samples.spread_documents(spark, folder))
+    replies = samples.field_quotes(samples.documents(spark, folder))
     return _long_fields(parsing.parse_extraction(replies))
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from catalogue.sample_schema import ALLOWED_SCORES
 from papersieve import fixed_values as fv
-from papersieve.sources.storage import spread
 
 # Multiplier of the score formula for each question.
 MULTIPLIERS = [3, 5, 7, 11, 13, 17, 19, 23]
@@ -25,14 +24,9 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
 
 
-def spread_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The same over all task slots, for work on the whole texts."""
-    return spread(documents(spark, folder), "doc_id")
-
-
 def document_ids(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id`` alone: where no text is needed, none is read."""
-    return spread(documents(spark, folder).select("doc_id"), "doc_id")
+    return documents(spark, folder).select("doc_id")
 
 
 def named(rows: DataFrame) -> DataFrame:
@@ -135,10 +129,7 @@ def bodies(ids: DataFrame) -> DataFrame:
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
     """Attempt rows from ``events``: four in turn belong to one document."""
-    events = spread(
-        spark.read.parquet(f"{folder}/events.parquet").select("event_id", "event_type", "props"),
-        "event_id",
-    )
+    events = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "event_type", "props")
     kind = F.col("event_type")
     answered = kind.isin("click", "view")
     return events.select(
@@ -171,9 +162,7 @@ def field_quotes(texts: DataFrame) -> DataFrame:
 
 def page_listings(spark: SparkSession, folder: str) -> DataFrame:
     """Replies whose unmarked field list is the whole source of a web page."""
-    html = spread(
-        spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html"), "page_id"
-    )
+    html = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
     # one line for each tag, led by the address, which always holds a colon
     lines = F.replace(F.col("html"), F.lit("<"), F.lit("\n<"))
     response = F.concat(F.lit("Data Extraction\nsource: "), F.col("url"), F.lit("\n"), lines)
@@ -233,10 +222,8 @@ def title_fields(ids: DataFrame) -> DataFrame:
 def review_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Reviews, questions and fields as tables: a customer's orders are its questions."""
     customers = spark.read.parquet(f"{folder}/customer.parquet")
-    orders = spread(
-        spark.read.parquet(f"{folder}/orders.parquet")
-        .select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"),
-        "o_custkey",
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"
     )
     reviews = customers.select(
         F.col("c_custkey").alias("review_id"), F.col("c_acctbal").alias("cutoff")

@@ -1,4 +1,4 @@
-"""Cutting lineage in shared storage, and spreading work that cannot be split."""
+"""Cutting lineage in shared storage."""
 
 from __future__ import annotations
 
@@ -32,16 +32,3 @@ def durable(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """A scan hash-partitioned by ``keys`` when it has fewer splits than there are slots.
-
-    One small unsplittable file would otherwise keep every later step in one
-    task. A large scan has splits enough and is passed on without a shuffle.
-    Give it a bare scan, with only the columns that are needed.
-    """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= slots:
-        return scan
-    return scan.repartition(slots, *keys)
