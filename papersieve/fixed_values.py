@@ -28,12 +28,15 @@ TOTAL_SCORE = "TOTAL_SCORE"
 TITLE = "TITLE"
 TITLE_KEYS = ("TITLE", "Title", "title")
 
-# --- Fixed values: fields of a marked data-extraction section. The quantifiers
-# are possessive where giving characters back could never lead to a match, and
-# visible ASCII, which cannot end a value, is ruled out first: that is cheaper
-# than the search for all kinds of space.
+# --- Fixed values: fields of a marked data-extraction section. A value is read in
+# runs, of capitals and spaces or of anything else, and ends in the first run that
+# leads to a key; so each run is looked at once, whatever its length. A field opens
+# where the last one ended or with a run, white space before its key included.
 FIELD_KEY = rf"[A-Z][A-Z{SPACE_RANGE}]++:"
-FIELD = rf"(?s){FIELD_KEY}{SPACE}*+.*?(?![!-~])(?={SPACE}++{FIELD_KEY}|\z)"
+FIELD = (
+    rf"(?s)(?:\G|(?<![A-Z{SPACE_RANGE}])){SPACE}*+{FIELD_KEY}{SPACE}*+"
+    rf"(?:[^A-Z{SPACE_RANGE}]++|(?![A-Z]*+{SPACE}++{FIELD_KEY})[A-Z{SPACE_RANGE}]++)*+[A-Z]*+"
+)
 # Letters that equal an ASCII letter when case is ignored, the dotted and dotless
 # i, the long s and the Kelvin sign included.
 ANY_CASE_LETTER = r"[A-Za-z\x{130}\x{131}\x{17f}\x{212a}]"

@@ -5,17 +5,12 @@ An item is ``STRUCT<qid, descr, score>``; items keep the order of the reply.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from papersieve import fixed_values as fv
 from papersieve.functions.text import number, section, strip
 
-ITEM_TYPE = "array<struct<qid:string,descr:string,score:double>>"
-
 
 def qa_section(response: Column) -> Column:
     return section(response, fv.QA_START, fv.QA_END)
@@ -26,10 +21,12 @@ def _item(qid: Column, descr: Column, score: Column) -> Column:
     return F.struct(qid.alias("qid"), clean.alias("descr"), score.alias("score"))
 
 
-def _where_contained(text: Column, needed: list[str], found: Column, kind: str) -> Column:
-    """``found`` where the text holds one of the needed strings, else an empty array."""
-    absent = ~reduce(or_, [F.contains(text, F.lit(part)) for part in needed])
-    return F.when(absent, F.array().cast(kind)).otherwise(found)
+def _up_to_last(text: Column, marker: str) -> Column:
+    """``text`` up to the end of its last ``marker``; empty where it holds none.
+
+    No match can end later, and an id behind it would search to the end in vain.
+    """
+    return F.regexp_extract(text, f"(?s)^.*{marker}", 0)
 
 
 def _scored(items: Column) -> Column:
@@ -41,10 +38,9 @@ def marked_matches(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
 
     ``id_pattern`` must hold no capturing group and match no colon.
     """
-    pattern = rf"(?s)({id_pattern}):.*?\1{fv.SCORE_SUFFIX}:{fv.SPACE}*+[0-9.]+"
-    spans = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # Every id would search the whole rest of a text that holds no score marker.
-    return _where_contained(text, [fv.SCORE_SUFFIX + ":"], spans, "array<string>")
+    score = rf"{fv.SCORE_SUFFIX}:{fv.SPACE}*+[0-9.]+"
+    searched = _up_to_last(text, f"(?:{id_pattern}){score}")
+    return F.regexp_extract_all(searched, F.lit(rf"(?s)({id_pattern}):.*?\1{score}"), F.lit(0))
 
 
 def marked_items(matches: Column) -> Column:
@@ -112,19 +108,21 @@ def unmarked_items(response: Column, id_pattern: str = fv.QUESTION_ID) -> Column
 
     The score marker may carry any id, not just that of the item it closes.
     """
-    pattern = (
-        rf"(?s)({id_pattern})[:.]?(.*?)"
-        rf"{id_pattern}(?:{fv.SPACE}*Score|{fv.SCORE_SUFFIX})[:.]?{fv.SPACE}*([0-9.]+)"
+    marker = (
+        rf"(?:{id_pattern})(?:{fv.SPACE}*Score|{fv.SCORE_SUFFIX})[:.]?{fv.SPACE}*"
+    )
+    pattern = rf"(?s)({id_pattern})[:.]?(.*?){marker}([0-9.]+)"
+    # Any score closes any id, so before the last one every search succeeds.
+    searched = _up_to_last(response, marker + "[0-9.]+")
+    spans = F.regexp_extract_all(searched, F.lit(pattern), F.lit(0))
+    # neither an id nor a score holds a colon
+    parts = F.transform(
+        spans, lambda span: F.split(F.regexp_replace(span, pattern, "$1:$3:$2"), ":", 3)
     )
-    groups = [
-        F.regexp_extract_all(response, F.lit(pattern), F.lit(group)).alias(name)
-        for group, name in ((1, "qid"), (2, "descr"), (3, "score"))
-    ]
-    items = F.transform(
-        F.arrays_zip(*groups),
-        lambda hit: _item(hit["qid"], hit["descr"], hit["score"].try_cast("double")),
+    return F.transform(
+        parts,
+        lambda part: _item(F.get(part, 0), F.get(part, 2), F.get(part, 1).try_cast("double")),
     )
-    return _where_contained(response, ["Score", fv.SCORE_SUFFIX], items, ITEM_TYPE)
 
 
 def total_score(items: Column) -> Column:
