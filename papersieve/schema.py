@@ -28,6 +28,9 @@ EXCLUDING_TABLE = T.StructType([
     T.StructField("id", T.StringType(), False),
 ])
 
+# Columns that reports carry beside those of their header.
+KEY_COLUMNS = ("doc_id", "run_ts")
+
 
 @dataclass(frozen=True)
 class Question:
@@ -60,9 +63,22 @@ class ReviewSchema:
             repeated = sorted({name for name in names if folded.count(name.lower()) > 1})
             if repeated:
                 raise ValueError(f"{label} given more than once: {', '.join(repeated)}")
+        self._check_columns()
         if isinstance(self.cutoff, bool) or not isinstance(self.cutoff, (int, float)):
             raise ValueError(f"the cutoff score must be a number, not {self.cutoff!r}")
 
+    def _check_columns(self) -> None:
+        """Names that no report could hold beside its other columns."""
+        scores = {f"{i}{fv.SCORE_SUFFIX}".lower() for i in self.question_ids}
+        taken = {*KEY_COLUMNS, fv.TOTAL_SCORE.lower()}
+        for label, names, others in (
+            ("question id", self.question_ids, taken | scores | {fv.TITLE.lower()}),
+            ("field key", self.field_keys, taken),
+        ):
+            bad = sorted(name for name in names if name.lower() in others or "`" in name)
+            if bad:
+                raise ValueError(f"{label} not usable as a column: {', '.join(bad)}")
+
     @classmethod
     def from_dict(cls, data: dict[str, Any]) -> ReviewSchema:
         try:
@@ -146,10 +162,20 @@ def report_header(names: list[str]) -> list[str]:
 
 
 def header_type(names: list[str]) -> T.StructType:
-    """Table type of a report: scores are doubles, everything else is text."""
+    """Table type of a report: scores are doubles, everything else is text.
+
+    Scores are the total, those of ``QE`` questions and, in a quality report, which
+    closes with the total, any named after its question. A field may be called
+    ``RISK_SCORE``.
+    """
+    scores = {fv.TOTAL_SCORE}
+    if names[-1:] == [fv.TOTAL_SCORE]:
+        scores.update(name + fv.SCORE_SUFFIX for name in names)
+
+    def scored(name: str) -> bool:
+        return name in scores or (name.startswith("QE") and name.endswith(fv.SCORE_SUFFIX))
+
     return T.StructType([
-        T.StructField(
-            name, T.DoubleType() if name.endswith(fv.SCORE_SUFFIX) else T.StringType(), True
-        )
+        T.StructField(name, T.DoubleType() if scored(name) else T.StringType(), True)
         for name in names
     ])

@@ -21,15 +21,26 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """Document files directly inside ``folder`` (Spark's ``binaryFile`` columns).
 
     An absent folder is an error, a folder without documents is not. Selecting
-    ``path`` alone reads no file content.
+    ``path`` alone reads no file content. A subfolder is no document, whatever
+    its name. Spark's readers skip files whose names open with ``.`` or ``_``.
     """
-    files = spark.read.format("binaryFile")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", DOCUMENT_GLOB)
     try:
-        return files.load(f"{folder.rstrip('/')}/{DOCUMENT_GLOB}")
+        found = files.load(f"{folder.rstrip('/')}/{DOCUMENT_GLOB}")
+        # the glob also opens a subfolder called like a document
+        inside = F.regexp_count("path", F.lit("/")) > F.lit(_depth(spark, folder) + 1)
+        return found.where(~inside)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return files.option("pathGlobFilter", DOCUMENT_GLOB).load(folder).limit(0)
+        return files.load(folder).where(F.lit(False))
+
+
+def _depth(spark: SparkSession, folder: str) -> int:
+    """Slashes in the full path of ``folder``, as Spark spells the paths of files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.makeQualified(path).toString().count("/")
 
 
 def list_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from papersieve import ReviewSchema
 from papersieve.functions.text import file_stem, number, preview, strip, truncate
 from papersieve.operators.requests import render_prompts
-from papersieve.schema import report_header
+from papersieve.schema import header_type, report_header
 from papersieve.sources import corpus
 from papersieve.sources.reports import read_report
 from papersieve.sources.storage import durable
@@ -27,7 +27,7 @@ RAW = {
 
 @pytest.fixture
 def folder(tmp_path):
-    for name in ("a.pdf", "b.PDF", "c.txt", "sub/d.pdf", "e.Pdf", "status=x/f.pdf"):
+    for name in ("a.pdf", "b.PDF", "c.txt", "sub/d.pdf", "e.Pdf", "status=x/f.pdf", "g.pdf/h.txt", "g.pdf/i.pdf"):
         path = tmp_path / name
         path.parent.mkdir(exist_ok=True)
         path.write_bytes(f"page one of {name}|page two".encode())
@@ -172,6 +172,27 @@ def test_prompt_of_a_schema_and_of_tables_agree(spark):
     assert rows[2] == ""
 
 
+def test_only_scores_are_numbers():
+    kinds = header_type(["TITLE", "QE1", "QE1_SCORE", "TOTAL_SCORE"])
+    assert [f.dataType.simpleString() for f in kinds] == ["string", "string", "double", "double"]
+    assert header_type(["TITLE", "RISK_SCORE"])["RISK_SCORE"].dataType.simpleString() == "string"
+
+
+@pytest.mark.parametrize("part,name", [
+    ("data_extraction_fields", "Doc_ID"), ("data_extraction_fields", "TOTAL_SCORE"),
+    ("data_extraction_fields", "A`B"),
+])
+def test_names_that_no_report_can_hold(part, name):
+    with pytest.raises(ValueError, match="not usable"):
+        ReviewSchema.from_dict(RAW | {part: [{"key": name, "description": "x"}]})
+
+
+def test_question_named_like_a_score():
+    questions = [{"id": i, "question": "?", "scores": [0, 1]} for i in ("QE1", "qe1_score")]
+    with pytest.raises(ValueError, match="not usable"):
+        ReviewSchema.from_dict(RAW | {"quality_assessment_questions": questions, "excluding_questions": []})
+
+
 def test_report_that_was_never_written(spark, tmp_path):
     rows = read_report(spark, str(tmp_path / "absent"), ["TITLE", "QE1_SCORE"])
     assert rows.count() == 0
