@@ -27,8 +27,9 @@ def call_model(
     """Attempt rows of live calls, one task per partition of ``requests``.
 
     ``send`` takes a payload and returns ``(status_code, error_kind, body)``; the
-    caller brings the transport. What it raises is recorded as an error kind. Write the result before using it, as a lost
-    executor otherwise repeats the calls of its partitions.
+    caller brings the transport. What it raises is recorded as an error kind. Write
+    the result before using it, as a lost executor otherwise repeats the calls of its
+    partitions.
     """
     def attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -150,14 +151,16 @@ def without_text(documents: DataFrame) -> DataFrame:
 def attach_responses(known: DataFrame, responses: DataFrame) -> DataFrame:
     """``doc_id, file_name, has_text`` with the ``response`` of each document.
 
-    ``responses`` holds a document at most once, as ``responses()`` makes them. A
-    document without text was never sent: a reply recorded for it does not count.
+    A document that ``responses`` holds more than once keeps the greatest of its
+    replies, in the order of strings, so no document is ever repeated. One without
+    text was never sent: a reply recorded for it does not count.
 
     The join merges. Spark's size estimate of a text column is too rough to
     broadcast replies by, and the parsing that follows runs in the partitions
     of the join, not in the few splits a list of documents may have.
     """
-    replies = responses.select("doc_id", "response").hint("merge")
+    single = responses.groupBy("doc_id").agg(F.max("response").alias("response"))
+    replies = single.hint("merge")
     return known.join(replies, "doc_id", "left").withColumn(
         "response", F.when(F.col("has_text"), F.col("response"))
     )

@@ -166,3 +166,10 @@ def test_conversations_follow_file_names(spark, size):
     names = sorted(f"doc_{i}.pdf" for i in range(1000))
     assert sorted((r["position"], r["file_name"]) for r in rows) == list(enumerate(names))
     assert all(r["conversation"] == r["position"] // size for r in rows)
+
+
+def test_a_document_with_two_replies_stays_one_row(spark):
+    known = spark.createDataFrame([(1, "a", True), (2, "b", True)], "doc_id int, file_name string, has_text boolean")
+    replies = spark.createDataFrame([(1, "x"), (1, "y"), (1, None)], "doc_id int, response string")
+    rows = inference.attach_responses(known, replies).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["response"]) for r in rows] == [(1, "y"), (2, None)]
