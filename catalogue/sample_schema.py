@@ -8,22 +8,22 @@ ALLOWED_SCORES = [
     [0.0, 1.0], [0.0, 1.0], [0.0, 1.0], [0.0, 0.5, 1.0],
 ]
 _ASKED = [
-    "Does the method fit the problem that the work sets out to solve?",
-    "Could a reader rebuild the system from its description?",
-    "Do the data bear out the conclusions?",
-    "Is it clear what kind of study this is?",
-    "Are the code or the data open to the public?",
-    "Is the work about the subject of this review?",
-    "Are the results compared with those of other methods?",
-    "Is related work covered up to the present?",
+    "Is the text prose rather than a list, a table or code?",
+    "How much of the text is left when repeated lines are taken out?",
+    "Is the whole text in one language?",
+    "Does the text name where it comes from?",
+    "Is it free of license lines?",
+    "Is it free of names, numbers and addresses of persons?",
+    "Could the text stand alone, without the page around it?",
+    "Would a careful editor let the spelling pass?",
 ]
 _WANTED = {
-    "TITLE": "Title of the work.",
-    "AUTHOR": "Who wrote it.",
-    "YEAR": "When it appeared.",
-    "PUBLISHER": "Where it appeared.",
-    "VISION SYSTEM": "Cameras and sensors used.",
-    "LEVEL OF AUTOMATION": "By hand, shared or automatic.",
+    "TITLE": "First line that reads like a heading.",
+    "AUTHOR": "Person or site that signs the text.",
+    "YEAR": "Latest year that the text mentions.",
+    "SOURCE": "Site or collection that the text was taken from.",
+    "VISION SYSTEM": "Any camera in the text, as it is called there.",
+    "LICENSE": "License that the text states.",
 }
 
 SCHEMA = ReviewSchema.from_dict({

@@ -12,21 +12,19 @@ QA = "==QUALITY_ASSESSMENT_START=={}==QUALITY_ASSESSMENT_END=="
 DE = "==DATA_EXTRACTION_START=={}==DATA_EXTRACTION_END=="
 
 WELL_FORMED = (
-    "\n==QUALITY_ASSESSMENT_START== QE1: First. QE1_SCORE: 0.5\nQE2: Second. QE2_SCORE: 1.0\n"
-    "QE3: Third. QE3_SCORE: 1.0\nQE4: Fourth. QE4_SCORE: 1.0\nQE5: Fifth. QE5_SCORE: 0.0\n"
-    "QE6: Sixth. QE6_SCORE: 1.0\nQE7: Seventh. QE7_SCORE: 0.5\nQE8: Eighth. QE8_SCORE: 0.5 "
-    "==QUALITY_ASSESSMENT_END==\n==DATA_EXTRACTION_START== AUTHOR: Ann Lee, Bo Ray YEAR: 2022 "
-    "TITLE: A Title of Some Length PUBLISHER: IEEE NUMBER OF ARMS: N/S DOF OF ARM: six "
-    "USE OF CAD MODEL: no OPTIMIZATION OF TASKS: Yes HOW TO: By trying RESULTS: Better profit "
-    "==DATA_EXTRACTION_END==\n"
+    "Here is the review.\n" + QA.format(
+        "\nQE3: One language throughout.\nQE3_SCORE: 1\n\nQE1: Mostly tables.\nQE1_SCORE: 0.0\n"
+        "QE10: Two typing errors. QE10_SCORE: .5\n"
+    ) + "\n\n" + DE.format(
+        "\nLANGUAGE: nb\nLINES OF TEXT: 40, of which 3 repeat\nTITLE: Rain on the fjord\n"
+    )
 )
 ITEM_CASES = {
     "well formed": (
         WELL_FORMED,
         "marked",
-        [("QE1", "First.", 0.5), ("QE2", "Second.", 1.0), ("QE3", "Third.", 1.0),
-         ("QE4", "Fourth.", 1.0), ("QE5", "Fifth.", 0.0), ("QE6", "Sixth.", 1.0),
-         ("QE7", "Seventh.", 0.5), ("QE8", "Eighth.", 0.5)],
+        [("QE3", "One language throughout.", 1.0), ("QE1", "Mostly tables.", 0.0),
+         ("QE10", "Two typing errors.", 0.5)],
     ),
     "no markers": (
         "QE1: Some words QE1_SCORE: 1.0", "unmarked", [("QE1", "Some words", 1.0)]
@@ -93,10 +91,8 @@ FIELD_CASES = {
     "well formed": (
         WELL_FORMED,
         "marked",
-        [("AUTHOR", "Ann Lee, Bo Ray"), ("YEAR", "2022"), ("TITLE", "A Title of Some Length"),
-         ("PUBLISHER", "IEEE"), ("NUMBER OF ARMS", "N/S"), ("DOF OF ARM", "six"),
-         ("USE OF CAD MODEL", "no"), ("OPTIMIZATION OF TASKS", "Yes"), ("HOW TO", "By trying"),
-         ("RESULTS", "Better profit")],
+        [("LANGUAGE", "nb"), ("LINES OF TEXT", "40, of which 3 repeat"),
+         ("TITLE", "Rain on the fjord")],
     ),
     "empty value takes the next field": (
         DE.format("YEAR:\nTITLE: x"), "marked", [("YEAR", "TITLE: x")]
