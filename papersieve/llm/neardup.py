@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .arrays import mix, word_blocks
 from .common import digest, stored
-from .components import components
+from .components import components, merged
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -287,7 +287,7 @@ def near_duplicates(
     rest = stored(rest)
     if rest.limit(1).count():
         more = _verified(rest, texts, least, weighted)
-        found = stored(components(links.unionAll(more)))
+        found = stored(merged(found, more))
     return ids.join(found, ids["text_digest"] == found["node"], "left").select(
         "doc_id", "text_digest", F.coalesce("component", "text_digest").alias("class_digest")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from papersieve.llm import (
     decontaminate, fingerprints, language, neardup, packing, pii, quality, rollups, sharding, tokens, toxicity,
 )
-from papersieve.llm.components import components
+from papersieve.llm.components import components, merged
 from papersieve.llm.queries import ORACLES
 from tests.conftest import SMALL
 
@@ -194,6 +194,14 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(21)}, 50: 50, 60: 50}
 
 
+def test_components_are_merged_by_further_links(spark):
+    old = components(spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], "a bigint, b bigint"))
+    more = spark.createDataFrame([(11, 3), (5, 21), (7, 8), (20, 21), (9, 9)], "a bigint, b bigint")
+    found = {r.node: r.component for r in merged(old, more).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 5: 5, 20: 5, 21: 5, 7: 7, 8: 7}
+    assert merged(old.limit(0), more.limit(0)).count() == 0
+
+
 def test_windows_of_short_and_odd_items(spark, odd):
     documents = spark.createDataFrame(
         [(0, "A b, c!"), (1, "x y z " * 4 + "tail"), (2, None), (3, "É b"), (3, "é b")], "doc_id bigint, text string"
