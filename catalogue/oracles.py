@@ -373,6 +373,22 @@ SELECT d.doc_id,
             WHEN d.doc_id % 12 IN (5, 6, 11) THEN 'unmarked' ELSE 'marked' END AS qa_strategy,
        d.doc_id % 24 = 11 AS qa_failed, t.total_score
 FROM documents d LEFT JOIN totals t ON t.doc_id = d.doc_id""",
+    "qa_checks": f"""
+WITH {ITEMS}, asked(ord, qid, question, scores) AS (VALUES {_QUESTION_VALUES})
+SELECT d.doc_id,
+       CASE WHEN count(i.qid) > 0 THEN
+         coalesce(string_agg(DISTINCT i.qid, ',') FILTER (i.qid IS NOT NULL AND a.qid IS NULL), '') END AS unknown_ids,
+       bool_and(list_contains(a.scores, i.score)) FILTER (a.qid IS NOT NULL) AS score_in_range
+FROM documents d LEFT JOIN items i ON i.doc_id = d.doc_id LEFT JOIN asked a ON a.qid = i.qid
+GROUP BY d.doc_id""",
+    "de_strict": """
+WITH shown AS (
+  SELECT doc_id, upper(coalesce(source, 'none')) AS s, upper(coalesce(lang, 'none')) AS l, coalesce(n_chars, 0) AS n
+  FROM documents
+)
+SELECT doc_id, 'marked' AS de_strategy, 0::BIGINT AS ord, 'SOURCE' AS key, 'taken from ' || s AS value FROM shown
+UNION ALL SELECT doc_id, 'marked', 1, 'YEAR', n::VARCHAR FROM shown
+UNION ALL SELECT doc_id, 'marked', 2, 'LICENSE', l || ' SEEN: no' FROM shown""",
     "qa_wide": f"""
 WITH {ITEMS},{WIDE}
 SELECT w.*, t.total_score AS "TOTAL_SCORE"

@@ -69,18 +69,18 @@ def assemble_pages(spark: SparkSession, folder: str) -> DataFrame:
 def schema_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Items of all replies against the question table: use and misuse of each id."""
     items = parsing.quality_long(_quality(spark, folder), "doc_id")
-    # reduced to one row for each id and score before it meets the schema's few rows
-    counted = items.groupBy("qid", "score").agg(F.count("*").alias("n"))
+    # the questions come along as rows that count nothing, so one shuffle is enough
     asked = SCHEMA.questions_table(spark).withColumnRenamed("id", "qid")
+    lists = F.broadcast(asked.select("qid", "scores"))
     allowed = F.coalesce(F.array_contains("scores", F.col("score")), F.lit(False))
-    return (
-        counted.join(F.broadcast(asked), "qid", "full")
-        .groupBy("qid", "ord", "question")
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"),
-            F.coalesce(F.sum(F.when(~allowed, F.col("n"))), F.lit(0)).alias("n_other_scores"),
-        )
-        .select("qid", F.col("ord").cast("bigint").alias("ord"), "question", "n_items", "n_other_scores")
+    counted = items.join(lists, "qid", "left").select(
+        "qid", F.lit(1).alias("n"), F.when(allowed, 0).otherwise(1).alias("other"),
+        F.lit(None).cast("bigint").alias("ord"), F.lit(None).cast("string").alias("question"),
+    )
+    unasked = asked.select("qid", F.lit(0), F.lit(0), F.col("ord").cast("bigint"), "question")
+    return counted.unionAll(unasked).groupBy("qid").agg(
+        F.max("ord").alias("ord"), F.max("question").alias("question"),
+        F.sum("n").alias("n_items"), F.sum("other").alias("n_other_scores"),
     )
 
 
@@ -199,6 +199,13 @@ def qa_wide(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.quality_wide(_quality(spark, folder), SCHEMA, "doc_id")
 
 
+def qa_checks(spark: SparkSession, folder: str) -> DataFrame:
+    checked = parsing.check_items(_quality(spark, folder), SCHEMA)
+    return checked.select(
+        "doc_id", F.array_join("unknown_ids", ",").alias("unknown_ids"), "score_in_range"
+    )
+
+
 def qa_positional(spark: SparkSession, folder: str) -> DataFrame:
     replies = samples.glued_replies(samples.document_ids(spark, folder))
     parsed = parsing.parse_quality(replies)
@@ -243,6 +250,12 @@ def de_title_rescue(spark: SparkSession, folder: str) -> DataFrame:
     return _long_fields(parsing.parse_extraction(replies))
 
 
+def de_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields by the keys of the schema alone, where values end in capitals."""
+    replies = samples.capital_values(spark, folder)
+    return _long_fields(parsing.parse_extraction(replies, keys=SCHEMA.field_keys))
+
+
 def de_quoted_text(spark: SparkSession, folder: str) -> DataFrame:
     replies = samples.field_quotes(samples.documents(spark, folder))
     return _long_fields(parsing.parse_extraction(replies))
@@ -343,10 +356,12 @@ QUERIES: dict[str, Query] = {
     "qa_items": qa_items,
     "qa_total": qa_total,
     "qa_wide": qa_wide,
+    "qa_checks": qa_checks,
     "qa_positional": qa_positional,
     "qa_unmarked": qa_unmarked,
     "qa_quoted_text": qa_quoted_text,
     "de_items": de_items,
+    "de_strict": de_strict,
     "de_wide": de_wide,
     "de_unmarked": de_unmarked,
     "de_title_rescue": de_title_rescue,

@@ -242,3 +242,18 @@ def review_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
         F.col("o_orderpriority").alias("description"),
     )
     return reviews, questions, fields
+
+
+def capital_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies whose values end in capitals: source, number of characters and language of each document."""
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "lang", "n_chars")
+
+    def shown(name: str) -> Column:
+        return F.upper(F.coalesce(F.col(name), F.lit("none")))
+
+    reply = F.concat(
+        F.lit(f"{fv.DE_START}\nSOURCE: taken from "), shown("source"),
+        F.lit("\nYEAR: "), F.coalesce("n_chars", F.lit(0)).cast("string"),
+        F.lit("\nLICENSE: "), shown("lang"), F.lit(f" SEEN: no\n{fv.DE_END}"),
+    )
+    return rows.select("doc_id", reply.alias("response"))

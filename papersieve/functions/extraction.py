@@ -5,6 +5,8 @@ A field is ``STRUCT<key, value>``; fields keep the order of the reply.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,13 @@ def marked_matches(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(fv.FIELD), F.lit(0))
 
 
+def strict_matches(text: Column, keys: list[str]) -> Column:
+    """Spans from one of ``keys`` to the next of them or the end; other capitals belong to the value."""
+    key = f"(?:{'|'.join(map(re.escape, keys))}):" if keys else r"(?!)"
+    pattern = rf"(?s)(?<!(?!{fv.SPACE}).){key}.*?(?={fv.SPACE}{key}|\z)"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
 def marked_fields(matches: Column) -> Column:
     return F.transform(
         matches,

@@ -14,6 +14,7 @@ from papersieve.operators.requests import extract_reply
 from papersieve.sources.storage import durable
 
 ATTEMPT_TYPE = "doc_id bigint, attempt int, status_code int, error_kind string, body string"
+CALLS_A_GROUP = 16
 Send = Callable[[str], tuple[int | None, str | None, str | None]]
 
 
@@ -29,10 +30,10 @@ def call_model(
     ``send`` takes a payload and returns ``(status_code, error_kind, body)``; the
     caller brings the transport. What it raises is recorded as an error kind. Write
     the result before using it, as a lost executor otherwise repeats the calls of its
-    partitions.
+    partitions. Rows are handed on after every ``CALLS_A_GROUP`` requests.
     """
     def attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b[n : n + CALLS_A_GROUP] for b in batches for n in range(0, len(b), CALLS_A_GROUP)):
             rows = []
             for doc_id, payload in zip(batch["doc_id"], batch["payload"]):
                 for attempt in range(1, max_retries + 1):

@@ -7,7 +7,7 @@ bad input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersieve import fixed_values as fv
@@ -76,11 +76,15 @@ def parse_quality(
     return computed_once(parsed, "qa_strategy", "qa_items", "qa_failed", "total_score")
 
 
-def parse_extraction(df: DataFrame, response: str = "response") -> DataFrame:
+def parse_extraction(
+    df: DataFrame, response: str = "response", keys: list[str] | None = None
+) -> DataFrame:
     """Adds ``de_strategy, de_items``; both NULL where there is no reply.
 
     A marked section is read key by key, and searched for a title alone when it
-    has no key; without one, the lines below the heading are read.
+    has no key; without one, the lines below the heading are read. Any capitals
+    before a colon are a key, even those that end a value on the line before; with
+    ``keys``, only these are.
     """
     reply = F.nullif(F.col(response), F.lit(""))
     section, marked = F.col("_section"), F.col("_marked")
@@ -93,7 +97,7 @@ def parse_extraction(df: DataFrame, response: str = "response") -> DataFrame:
     )
     parsed = (
         df.withColumn("_section", extraction.de_section(F.col(response)))
-        .withColumn("_marked", extraction.marked_matches(section))
+        .withColumn("_marked", _key_spans(section, keys))
         .withColumn("de_strategy", strategy)
         .withColumn(
             "de_items",
@@ -107,6 +111,31 @@ def parse_extraction(df: DataFrame, response: str = "response") -> DataFrame:
     return computed_once(parsed, "de_strategy", "de_items")
 
 
+def _key_spans(section: Column, keys: list[str] | None) -> Column:
+    return extraction.marked_matches(section) if keys is None else extraction.strict_matches(section, keys)
+
+
+def check_items(parsed: DataFrame, schema: ReviewSchema) -> DataFrame:
+    """Adds ``unknown_ids`` and ``score_in_range``; neither changes a total. NULL where nothing was parsed.
+
+    ``unknown_ids`` are the ids outside the schema, each once, in the order of the
+    reply. ``score_in_range`` is false if a known id has a score outside its list.
+    """
+    known = schema.question_ids
+    ids = F.array_distinct(F.transform("qa_items", lambda item: item["qid"]))
+
+    def allowed(item: Column) -> Column:
+        fits = F.lit(True)
+        for question in schema.questions:
+            outside = (item["qid"] == question.id) & ~item["score"].isin(*question.scores)
+            fits = fits & ~outside
+        return fits
+
+    return parsed.withColumn("unknown_ids", F.filter(ids, lambda qid: ~qid.isin(*known))).withColumn(
+        "score_in_range", F.forall("qa_items", allowed)
+    )
+
+
 def quality_long(parsed: DataFrame, *keys: str) -> DataFrame:
     """One row per item: ``keys, ord, qid, descr, score``."""
     return parsed.select(*keys, F.posexplode("qa_items").alias("ord", "_item")).select(

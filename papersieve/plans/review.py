@@ -36,13 +36,18 @@ class Reports(NamedTuple):
 
 
 def review_replies(
-    attached: DataFrame, schema: ReviewSchema, id_pattern: str = fv.QUESTION_ID
+    attached: DataFrame,
+    schema: ReviewSchema,
+    id_pattern: str = fv.QUESTION_ID,
+    strict_keys: bool = False,
 ) -> DataFrame:
     """Decisions for rows of ``doc_id, file_name, has_text, response``.
 
-    Works row by row, on a batch or on a stream.
+    Works row by row, on a batch or on a stream. With ``strict_keys`` a marked
+    section is split at the keys of the schema only.
     """
-    return triage(parse_extraction(parse_quality(attached, id_pattern=id_pattern)), schema)
+    keys = schema.field_keys if strict_keys else None
+    return triage(parse_extraction(parse_quality(attached, id_pattern=id_pattern), keys=keys), schema)
 
 
 def review(
@@ -50,10 +55,11 @@ def review(
     responses: DataFrame,
     schema: ReviewSchema,
     id_pattern: str = fv.QUESTION_ID,
+    strict_keys: bool = False,
 ) -> DataFrame:
     """Decisions for documents and their recorded replies; one join is all it shuffles."""
     attached = attach_responses(without_text(documents), responses)
-    return review_replies(attached, schema, id_pattern)
+    return review_replies(attached, schema, id_pattern, strict_keys)
 
 
 def report_paths(folder: str) -> Reports:
@@ -71,6 +77,7 @@ def run_review(
     earlier: DataFrame | None = None,
     id_pattern: str = fv.QUESTION_ID,
     options: dict[str, str] | None = None,
+    strict_keys: bool = False,
 ) -> Reports:
     """Review what is pending and write every report table below ``folder``.
 
@@ -100,12 +107,14 @@ def run_review(
         source: str = source,
         options: dict[str, str] = options or {},
     ) -> None:
+        if partitions:  # else each task would leave a small file in each partition
+            table = table.hint("rebalance", *partitions)
         writer = table.withColumn("run_ts", F.lit(run_ts)).write.format(source).options(**options)
         if mode == "append":
             writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.mode("overwrite").partitionBy("run_ts", *partitions).save(path)
 
-    decided = review_replies(attach_responses(todo, responses), schema, id_pattern)
+    decided = review_replies(attach_responses(todo, responses), schema, id_pattern, strict_keys)
     write(decided, paths.decisions, "status", source="parquet", options={})
     decisions = read_decisions(spark, paths.decisions, decided.schema, run_ts)
 
