@@ -7,16 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import codes, letters, mix, parts, spans
-from .common import held_out
+from .common import digest, held_out, stored
 
 DIMENSIONS = 1 << 13
 CENTROIDS = 4
 SAMPLE = 600
-"""Texts of each language that its centroids are fitted on, at most (about)."""
+"""Different texts of each language that its centroids are fitted on, at most."""
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -127,11 +127,29 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return total[:DIMENSIONS], int(total[DIMENSIONS])
 
 
+def sample_texts(known: DataFrame, bound: int) -> DataFrame:
+    """``language, text``: ``bound`` different texts of each language, or all that it has.
+
+    Texts without any letter are left out, and copies count once, so that they
+    neither push out the other texts of a language nor fill its sample.
+    """
+    # unassigned code points may be letters of a later Unicode version
+    marked = known.where(F.col("text").rlike(r"[\p{L}\p{Cn}]")).withColumn("text_digest", digest(F.col("text")))
+    texts = stored(marked.select("language", "text_digest").distinct())
+    sizes = texts.groupBy("language").count()
+    place = F.pmod(F.xxhash64("text_digest"), F.lit(1 << 30))
+    # twice as many as needed, so that what is numbered per language is small and still enough
+    few = texts.join(F.broadcast(sizes), "language").where(place < F.lit(float((1 << 30) * (2 * bound + 100))) / F.col("count"))
+    number = F.row_number().over(Window.partitionBy("language").orderBy(place, "text_digest"))
+    chosen = few.withColumn("number", number).where(F.col("number") <= bound).select("language", "text_digest")
+    return marked.join(F.broadcast(chosen), ["language", "text_digest"]).select("language", "text").distinct()
+
+
 def train(documents: DataFrame, bound: int = SAMPLE, k: int = CENTROIDS) -> Centroids:
     """Learn from ``text`` and non-null ``lang`` of documents outside the held-out quarter.
 
-    Document frequencies cover all of these documents; about ``bound`` texts of
-    each language, chosen by the hash of the text, are clustered, each language
+    Document frequencies cover all of these documents; ``bound`` different texts
+    of each language, chosen by their digests, are clustered, each language
     in a task of its own. What comes to the driver is ``k`` centroids per language.
     """
     known = documents.where(
@@ -139,9 +157,7 @@ def train(documents: DataFrame, bound: int = SAMPLE, k: int = CENTROIDS) -> Cent
     ).select("text", F.col("lang").alias("language"))
     frequencies, count = document_frequencies(known)
     idf = np.log((count + 1) / (frequencies + 1)) + 1
-    sizes = known.groupBy("language").count()
-    hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    sample = known.join(F.broadcast(sizes), "language").where(hashed * F.col("count") < (1 << 30) * bound)
+    sample = sample_texts(known, bound)
 
     def vectorised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

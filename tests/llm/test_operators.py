@@ -257,6 +257,22 @@ def test_models_without_examples(spark, odd, none):
     assert all(r.s.lang_pred == "und" for r in found)
 
 
+def test_copies_neither_hide_nor_fill_a_language(spark):
+    mainly = [(i, "immer das gleiche lied hier", "de") for i in range(4000)]
+    others = [(5000 + i, f"und ein anderer satz {'xyzabc'[i % 6] * (i + 1)}", "de") for i in range(8)]
+    english = [(6000 + i, f"some words of english {'qwerty'[i % 6] * (i + 1)}", "en") for i in range(60)]
+    digits = [(7000 + i, str(i), "en") for i in range(3000)]
+    documents = spark.createDataFrame(mainly + others + english + digits, "doc_id bigint, text string, lang string")
+    sample = language.sample_texts(documents.select("text", F.col("lang").alias("language")), 20).collect()
+    assert len(set(sample)) == len(sample)
+    assert sorted(r.text for r in sample if r.language == "de") == sorted({t for _, t, _ in mainly + others})
+    assert sum(r.language == "en" for r in sample) == 20
+    model = language.train(documents, bound=20)
+    assert set(model.languages) == {"de", "en"}
+    found = documents.where("lang = 'de'").select(language.language(F.col("text"), model).alias("s"))
+    assert found.where("s.lang_pred = 'de'").count() >= len(mainly)
+
+
 def test_batches_count_once(spark, tmp_path):
     schema = "source string, lang string, tokenizer string, tokens bigint, bytes bigint"
     one = spark.createDataFrame([("a", "en", "t", 5, 9), ("a", "en", "t", 7, 1), (None, "de", "t", 2, 2)], schema)
