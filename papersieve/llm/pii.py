@@ -34,7 +34,10 @@ SUPPORT = 3
 CONFIDENCE = 0.8
 """Share of a pattern's instances, and score of an instance, that count as certain."""
 FEWEST_DIGITS = 5
-"""Digits that an unseen identifier has at least, unless it holds @."""
+"""Digits, or an @, with which a value stands for the same thing in every context; with fewer, in its own alone."""
+_BLANK = r"[ \u00a0\u2007\u202f]"
+JOINT = rf"\A{_BLANK}(?:[A-Z]{{1,4}}{_BLANK})?\z"
+"""What may stand between two tokens of one identifier: a blank, or a group of capitals (as in an IBAN) between two."""
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
@@ -73,9 +76,12 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _instances(documents: DataFrame) -> DataFrame:
-    """Matches of every distinct text: ``text_digest``, ``kind``, ``value``, ``start``, ``end``, ``before``, ``after``.
+    """Matches of every distinct text: ``text_digest``, ``kind``, ``value``, ``name``, ``whole``, ``start``, ``end``, ``outer``, ``patterns``.
 
-    Kind ``token`` stands for whatever might be personal data and overlaps no base match.
+    Kind ``token`` stands for whatever might be personal data and overlaps no base
+    match: tokens in a row that ``JOINT`` joins, as one value, and those of them
+    that stand for something by themselves once more, with ``whole`` false and
+    ``outer``, the start of the whole. Values of one ``name`` are taken as one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = documents.select(text.alias("text")).where(F.col("text").rlike("[0-9@]")).select(
@@ -102,62 +108,95 @@ def _instances(documents: DataFrame) -> DataFrame:
     reached = F.max(F.when(base, F.col("end"))).over(forward)
     coming = F.min(F.when(base, F.col("start"))).over(backward)
     free = (F.coalesce(reached, F.lit(0)) <= F.col("start")) & (F.coalesce(coming, F.col("end")) >= F.col("end"))
-    likely = F.col("value").contains("@") | (F.length(_digits(F.col("value"))) >= FEWEST_DIGITS)
-    return found.withColumn("free", free).where(base | (F.col("free") & likely)).select(
-        "text_digest", "kind", "value", "start", "end", "before", "after"
+    found = found.withColumn("free", free).where(base | F.col("free"))
+
+    # tokens in a row become one; each base match stays by itself
+    last = F.lag(F.struct("number", "value")).over(so_far)
+    joined = (
+        ~base & (last["number"] == F.col("number") - 1) & ~last["value"].endswith(".")
+        & (F.col("gap") <= 6) & F.col("before").rlike(JOINT)
+    )
+    found = found.withColumn("joined", F.coalesce(joined, F.lit(False)))
+    found = found.withColumn("run", F.count_if(~F.col("joined")).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = found.groupBy("text_digest", "kind", "run").agg(F.sort_array(F.collect_list(F.struct(
+        "number", "value", "start", "end", "before", "after", F.when(F.col("joined"), F.col("before")).otherwise("").alias("joint"),
+    ))).alias("m"))
+    first, end = F.get("m", F.lit(0)), F.element_at("m", -1)
+    whole = F.struct(
+        F.lit(True).alias("whole"), F.array_join(F.transform("m", lambda t: F.concat(t["joint"], t["value"])), "").alias("value"),
+        first["start"].alias("start"), end["end"].alias("end"), first["before"].alias("before"), end["after"].alias("after"),
     )
+    inner = F.transform(F.filter("m", lambda t: _telling(t["value"])), lambda t: F.struct(
+        F.lit(False).alias("whole"), *(t[c].alias(c) for c in ("value", "start", "end", "before", "after"))
+    ))
+    found = found.select("text_digest", "kind", first["start"].alias("outer"), F.inline(
+        F.when(F.size("m") > 1, F.concat(F.array(whole), inner)).otherwise(F.array(whole))
+    ))
+    found = found.withColumn("patterns", F.array_compact(_patterns()))
+    telling = base | _telling(F.col("value"))
+    name = F.when(telling, F.col("value")).otherwise(F.array_join(F.concat(F.array("value"), F.col("patterns")), "\n"))
+    return found.where(telling | (F.size("patterns") > 0)).select(
+        "text_digest", "kind", "value", name.alias("name"), "whole", "start", "end", "outer", "patterns"
+    )
+
+
+def _telling(value: Column) -> Column:
+    return value.contains("@") | (F.length(_digits(value)) >= FEWEST_DIGITS)
 
 
 _MATCHES = "array<struct<kind:string,number:int,value:string,gap:int,before:string,after:string>>"
 
 
-def _edges(instances: DataFrame) -> DataFrame:
-    """Graph of patterns and instances: ``pattern``, ``value``, ``known`` (kind of a base match, else null)."""
+def _patterns() -> Column:
+    """Patterns of ``before`` and ``after``; null where there are too few words."""
     before, after = (
         F.lower(F.regexp_replace(F.col(c), "[0-9]", "0")) for c in ("before", "after")
     )
     two = F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1)
     one = F.regexp_extract(before, r"(\S+)\s*$", 1)
     right = F.regexp_extract(after, r"^\s*(\S+)", 1)
-    patterns = F.array(
+    return F.array(
         F.when(two != "", F.concat(F.regexp_replace(two, r"\s+", " "), F.lit(" _"))),
         F.when((one != "") & (right != ""), F.concat(one, F.lit(" _ "), right)),
     )
+
+
+def _edges(instances: DataFrame) -> DataFrame:
+    """Graph of patterns and instances: ``pattern``, ``value``, ``name``, ``whole``, ``known`` (kind of a base match, else null)."""
     known = F.when(F.col("kind") != "token", F.col("kind"))
-    return (
-        instances.select(F.explode(patterns).alias("pattern"), "value", known.alias("known"))
-        .where("pattern IS NOT NULL").distinct()
-    )
+    return instances.select(F.explode("patterns").alias("pattern"), "value", "name", "whole", known.alias("known")).distinct()
 
 
 def discover(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Kinds of values that are no base match: ``value``, ``kind``, ``score``.
+    """Kinds of values that are no base match, by their names: ``name``, ``kind``, ``score``.
 
     In each round a pattern's confidence for a kind is the share of that kind
     among its different instances, and it counts with ``SUPPORT`` of them and
     ``CONFIDENCE``; a value's score is the chance that not all of its patterns err.
-    Values that reach ``CONFIDENCE`` support patterns in the next round.
+    Values that reach ``CONFIDENCE`` support patterns in the next round. Parts of
+    a value are found as well, but neither support a pattern nor add to its size.
     """
     edges = stored(_edges(instances))
-    sizes = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
+    sizes = edges.where("whole").groupBy("pattern").agg(F.countDistinct("value").alias("n"))
     seeds = edges.where("known IS NOT NULL").select("pattern", "value", F.col("known").alias("kind"), F.lit(1.0).alias("score"))
-    open_edges = edges.where("known IS NULL").select("pattern", "value")
+    open_edges = edges.where("known IS NULL").select("pattern", "value", "name", "whole")
     scored = None
     for _ in range(rounds):
         support = seeds
         if scored is not None:
-            support = seeds.unionAll(open_edges.join(scored, "value").select("pattern", "value", "kind", "score"))
+            found = open_edges.where("whole").join(scored, "name").groupBy("pattern", "value", "kind").agg(F.max("score").alias("score"))
+            support = seeds.unionAll(found)
         rated = (
             support.groupBy("pattern", "kind").agg(F.sum("score").alias("weight"), F.countDistinct("value").alias("support"))
             .where(F.col("support") >= SUPPORT).join(sizes, "pattern")
             .select("pattern", "kind", F.least(F.col("weight") / F.col("n"), F.lit(0.999)).alias("confidence"))
             .where(F.col("confidence") >= CONFIDENCE)
         )
-        votes = open_edges.join(rated, "pattern").groupBy("value", "kind").agg(
+        votes = open_edges.join(rated, "pattern").select("pattern", "name", "kind", "confidence").distinct().groupBy("name", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")
         )
-        best = votes.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))
-        scored = stored(best.select("value", "b.kind", "b.score").where(F.col("score") >= CONFIDENCE))
+        best = votes.groupBy("name").agg(F.max(F.struct("score", "kind")).alias("b"))
+        scored = stored(best.select("name", "b.kind", "b.score").where(F.col("score") >= CONFIDENCE))
     return scored
 
 
@@ -171,7 +210,9 @@ def spans(documents: DataFrame) -> DataFrame:
     base = instances.where("kind <> 'token'").select(
         "text_digest", "kind", "start", "end", F.lit(True).alias("base"), "value", F.lit(1.0).alias("score")
     )
-    more = instances.where("kind = 'token'").drop("kind").join(discover(instances), "value").select(
+    found = instances.where("kind = 'token'").drop("kind").join(discover(instances), "name")
+    covered = F.max("whole").over(Window.partitionBy("text_digest", "outer"))
+    more = found.withColumn("covered", covered).where(F.col("whole") | ~F.col("covered")).select(
         "text_digest", "kind", "start", "end", F.lit(False).alias("base"), "value", "score"
     )
     return base.unionAll(more)

@@ -87,6 +87,27 @@ def test_contexts_discover_and_hide_identifiers(spark):
     assert hidden[98] == rows[7][1] and hidden[97] is None and len(hidden) == len(rows)
 
 
+def test_identifiers_in_groups_and_short_ones_are_discovered(spark):
+    said = "you can call me on {} today"
+    values = ["555 123 4567", "(377) 555-0271", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "4821", "77 123456"]
+    hidden = [said.format(v) for v in values]
+    plain = ["we read chapter 4821 here", "another number like 123456 there", "it was 1990. then 555 123 left"]
+    elsewhere = ["write (377) 555-0271 down", "next 77 123456 99"]
+    # in this context short numbers are many, so that it is no sign of a phone
+    weak = [f"the sum of {i} was due" for i in range(20)] + ["the sum of 1234567 was due"]
+    seeds = [f"you can call me on +1 377 555 0{i} today" for i in range(100, 140)]
+    seeds += [f"the sum of +1 377 555 0{i} was due" for i in range(200, 204)]
+    texts = hidden + plain + elsewhere + weak + seeds
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r.text for r in pii.redact(documents).orderBy("doc_id").collect()]
+    assert got[:6] == [said.format("[PHONE]")] * 6
+    assert got[6:9] == plain
+    assert got[9:11] == ["write [PHONE] down", elsewhere[1]]
+    assert got[11:32] == weak
+    spans = {r.doc_id: r.spans for r in pii.report(documents).collect()}
+    assert [len(spans[i]) for i in range(6)] == [1] * 6
+
+
 def test_sketches_give_back_all_differences():
     random = np.random.default_rng(1)
     sets = [set(random.integers(0, 2**63, n).tolist()) for n in (0, 1, 30, 400)]
