@@ -14,16 +14,21 @@ from papersieve.functions.text import file_name
 
 # Fixed value: file names taken as documents, in any letter case.
 DOCUMENT_GLOB = "*.[pP][dD][fF]"
+HIDDEN_GLOB = "{[._]*,}.[pP][dD][fF]"
 PAGE_TYPE = "path string, page_no int, page_text string"
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
+def read_files(spark: SparkSession, folder: str, leave_hidden: bool = False) -> DataFrame:
     """Document files directly inside ``folder`` (Spark's ``binaryFile`` columns).
 
     An absent folder is an error, a folder without documents is not. Selecting
     ``path`` alone reads no file content. A subfolder is no document, whatever
-    its name. Spark's readers skip files whose names open with ``.`` or ``_``.
+    its name. Spark's readers can't read files whose names open with ``.`` or
+    ``_``; if there are any, that is an error which gives their number, unless
+    ``leave_hidden`` says to go on without them.
     """
+    if not leave_hidden and (left := hidden_documents(spark, folder)):
+        raise ValueError(f"{len(left)} documents of {folder} have hidden names and can't be read, such as {left[0]}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", DOCUMENT_GLOB)
     try:
         found = files.load(f"{folder.rstrip('/')}/{DOCUMENT_GLOB}")
@@ -36,6 +41,15 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
         return files.load(folder).where(F.lit(False))
 
 
+def hidden_documents(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the documents directly inside ``folder`` that Spark's readers skip; only these come to the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{HIDDEN_GLOB}")
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files = [s.getPath() for s in system.globStatus(path) or [] if s.isFile()]
+    # Spark does read _name=value
+    return sorted(f.toString() for f in files if not (f.getName().startswith("_") and "=" in f.getName()))
+
+
 def _depth(spark: SparkSession, folder: str) -> int:
     """Slashes in the full path of ``folder``, as Spark spells the paths of files."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -44,8 +58,10 @@ def _depth(spark: SparkSession, folder: str) -> int:
 
 
 def list_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, file_name`` of every document in a folder."""
-    return read_files(spark, folder).select("path", file_name(F.col("path")).alias("file_name"))
+    """``path, file_name`` of every document in a folder, those with hidden names as well."""
+    paths = read_files(spark, folder, leave_hidden=True).select("path")
+    hidden = spark.createDataFrame([(p,) for p in hidden_documents(spark, folder)], "path string")
+    return paths.unionAll(hidden).select("path", file_name(F.col("path")).alias("file_name"))
 
 
 def decode_pages(files: DataFrame, decoder: Callable[[bytes], list[str | None]]) -> DataFrame:

@@ -39,6 +39,18 @@ def test_list_documents(spark, folder):
     assert [r["file_name"] for r in rows] == ["a.pdf", "b.PDF", "e.Pdf"]
 
 
+def test_hidden_documents_are_listed_and_never_left_out_silently(spark, folder):
+    for name in ("_a.pdf", ".b.pdf", ".PDF", "_c=d.pdf", "_note.txt"):
+        (folder / name).write_bytes(b"x")
+    (folder / "_sub.pdf").mkdir()
+    rows = corpus.list_documents(spark, str(folder)).collect()
+    assert sorted(r["file_name"] for r in rows) == [".PDF", ".b.pdf", "_a.pdf", "_c=d.pdf", "a.pdf", "b.PDF", "e.Pdf"]
+    assert len({r["path"].rsplit("/", 1)[0] for r in rows}) == 1
+    with pytest.raises(ValueError, match="^3 documents"):
+        corpus.read_files(spark, str(folder))
+    assert corpus.read_files(spark, str(folder), leave_hidden=True).count() == 4
+
+
 def test_list_documents_of_an_empty_or_absent_folder(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("x")
     assert corpus.list_documents(spark, str(tmp_path)).count() == 0
