@@ -6,6 +6,8 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 20
 """Characters handled at once; a longer text is taken in parts of this length."""
@@ -42,6 +44,17 @@ def spans(texts: list[str], limit: int = BLOCK, rows: int = 1 << 30) -> Iterator
         yield first, len(texts)
 
 
+def text_slices(texts: pa.Array, limit: int = BLOCK) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch, in lists of about ``limit`` bytes, so that few are Python strings at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 1)
+    first = 0
+    while first < len(texts):
+        start = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, start + limit, "right")))
+        yield texts.slice(first, end - first).to_pylist()
+        first = end
+
+
 def parts(text: str, overlap: int = 0) -> Iterator[str]:
     """A text in parts of ``BLOCK`` characters that share ``overlap`` characters.
 

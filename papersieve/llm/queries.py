@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from papersieve.sources.storage import shared_folder
 
-from . import decontaminate, fingerprints, language, neardup, packing, pii, quality, rollups, sharding, toxicity
+from . import (
+    bpe, codes, decontaminate, fingerprints, hardneg, language, neardup, packing, pii, quality, rollups, sharding,
+    toxicity, vectors,
+)
 from .common import digest, held_out, stored, table
 
 QUALITY_CUT = quality.CUT
@@ -137,6 +140,37 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors are rows whose ``vec_id`` is divisible by 50; every seventh row has the label of another class."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").where(F.col("label").isNotNull() & vectors.usable("embedding"))
+    whole = vectors.whole_numbers("embedding", 256)
+    return hardneg.hard_negatives(
+        rows.select("vec_id", label.alias("label"), whole.alias("vector")), F.col("vec_id") % 50 == 0
+    )
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").where(vectors.usable("embedding"))
+    whole = stored(rows.select("vec_id", "label", vectors.whole_numbers("embedding", 4096).alias("vector")))
+    books = codes.train(whole)
+    found = stored(codes.compress(whole, books))
+    return codes.with_group_total(found, "label", "error", "label_error").select(
+        "vec_id",
+        F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"),
+        "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"),
+    )
+
+
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids")).cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and callable(query)
 }
@@ -144,6 +178,45 @@ QUERIES = {
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _whole(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _codes_sql() -> str:
+    """Lloyd's rounds as one chain of common table expressions."""
+    width = "len(v) // 8"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, {_whole(4096)} AS v FROM embeddings WHERE {_FINITE})",
+        "positions AS (SELECT unnest(range(8)) AS p)",
+        f"parts AS MATERIALIZED (SELECT r, p, v[p * ({width}) + 1 : (p + 1) * ({width})] AS x FROM kept, positions)",
+        "books0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 16)",
+    ]
+    for i in range(7):
+        steps.append(
+            f"""near{i} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min(d * 16 + e) % 16 AS e, min(d * 16 + e) // 16 AS d
+            FROM (SELECT r, p, x, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+                  FROM parts JOIN books{i} USING (p)) GROUP BY r, p)"""
+        )
+        if i < 6:
+            steps.append(
+                f"""means{i} AS (SELECT p, e, list(m ORDER BY j) AS c FROM (
+                SELECT p, e, j, CAST(floor(sum(y) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS m
+                FROM (SELECT p, e, unnest(x) AS y, unnest(range(len(x))) AS j FROM near{i}) GROUP BY p, e, j) GROUP BY p, e),
+                books{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM books{i} b LEFT JOIN means{i} m USING (p, e))"""
+            )
+    steps.append(
+        """coded AS (SELECT r, string_agg(lpad(printf('%x', e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+        FROM near6 GROUP BY r)"""
+    )
+    steps.append("digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books6)")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest"""
+
+
 ORACLES = {
     "op10_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -161,4 +234,17 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN inside USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_hard_negatives": f"""
+WITH kept AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+              {_whole(256)} AS v FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+scored AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+           FROM kept a JOIN kept b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+positives AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score,
+              row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM scored WHERE same QUALIFY n <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.r, n ORDER BY score DESC, vec_id) AS INTEGER) AS "rank",
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.r = s.r AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY "rank" <= 3""",
+    "op12_vector_codes": _codes_sql(),
 }
