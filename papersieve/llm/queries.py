@@ -163,11 +163,11 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+    found = bpe.round_trip(table(spark, folder, "documents"))
     return found.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids")).cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

@@ -232,15 +232,19 @@ def test_merging_takes_the_lowest_rank_first():
     draw = random.Random(2)
     for _ in range(400):
         ranks, size = {}, 6
-        for rank in range(12):
+        for _ in range(12):
             pair = draw.randrange(size), draw.randrange(size)
             if pair not in ranks:
-                ranks[pair], size = (rank, size), size + 1
+                ranks[pair], size = (len(ranks), size), size + 1
         symbols = wanted = [draw.randrange(6) for _ in range(draw.randint(0, 30))]
         while pairs := [(ranks[p][0], i) for i, p in enumerate(zip(wanted, wanted[1:], strict=False)) if p in ranks]:
             _, i = min(pairs)
             wanted = [*wanted[:i], ranks[wanted[i], wanted[i + 1]][1], *wanted[i + 2 :]]
-        assert bpe.merge(symbols, ranks) == wanted
+        merges = bpe.Merges(list(ranks), [new for _, new in ranks.values()])
+        assert bpe.merge(symbols, merges.ranks, merges.merged) == wanted
+        together, sizes = merges.side_by_side(np.array([*symbols, 0, 1, *symbols]), np.array([len(symbols), 0, 2, len(symbols)]))
+        assert together[: sizes[0]].tolist() == wanted and sizes[0] == len(wanted) and sizes[1] == 0
+        assert together[len(together) - sizes[3] :].tolist() == wanted
 
 
 def test_bpe_query_and_odd_ids(spark, library, tmp_path):
