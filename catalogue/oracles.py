@@ -6,8 +6,8 @@ the replies were derived by.
 
 from __future__ import annotations
 
-from catalogue.queries import CONTENT_LIMIT, MODEL, RUN_TS
-from catalogue.sample_schema import ALLOWED_SCORES, SCHEMA
+from catalogue.queries import BACKEND, CONTENT_LIMIT, MODEL, NEXT_RUN_TS, RUN_TS
+from catalogue.sample_schema import ALLOWED_SCORES, LATER_SCHEMA, SCHEMA
 from catalogue.samples import MULTIPLIERS, PAGE_CHARS
 from papersieve import fixed_values as fv
 
@@ -457,7 +457,10 @@ SELECT status, reason, count(*)::BIGINT AS n_documents FROM decisions GROUP BY s
 WITH {REPLIES}, logged AS ({_LOG})
 SELECT doc_id, chr(10) || chr(10) || repeat('=', 80) || chr(10) || 'PDF: ' || file_name || chr(10)
   || 'Time: ' || logged_at || chr(10) || repeat('=', 80) || chr(10) || chr(10) || body AS value
-FROM logged""",
+FROM logged
+UNION ALL
+SELECT NULL, '=== LLM Response Log - Started at {RUN_TS} ===' || chr(10) || chr(10)
+  || 'Using LLM backend at {BACKEND} (model: {MODEL})' || chr(10)""",
     "artifacts": f"""
 WITH {REPLIES}, written AS (
   SELECT doc_id, 'doc_' || doc_id || '_prompt.txt' AS artifact, {_PROMPT_TEXT} AS content FROM documents
@@ -470,4 +473,69 @@ WITH {REPLIES}, written AS (
 )
 SELECT doc_id, artifact, length(content)::BIGINT AS n_chars, md5(content) AS content_md5 FROM written""",
     "report_round_trip": QA_REPORT,
+    "run_snapshot": f"""
+WITH {_decisions(True)}
+SELECT doc_id, '{RUN_TS}' AS run_ts, status FROM decisions WHERE doc_id % 3 = 0
+UNION ALL
+SELECT doc_id, '{NEXT_RUN_TS}', status FROM decisions
+WHERE doc_id % 3 <> 0 OR status NOT IN ('ANALYSED', 'REJECTED')""",
 }
+# A stream must come to what the batch comes to.
+ORACLES["review_stream"] = ORACLES["triage"]
+ORACLES["attempts_stream"] = ORACLES["resolve_attempts"]
+
+# Lines of a customer's orders as items; of a repeated question the last counts.
+_LINES = """
+lines AS (
+  SELECT o_custkey AS review_id, l_linenumber::BIGINT AS doc_id, o_orderkey, o_orderstatus, o_orderpriority,
+         'part ' || l_partkey || ' from ' || l_suppkey AS answer, (l_quantity % 3)::DOUBLE AS score,
+         row_number() OVER (PARTITION BY o_custkey, l_linenumber, o_orderkey
+                            ORDER BY l_quantity DESC, l_partkey DESC, l_suppkey DESC) AS n
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+),
+totals AS (SELECT review_id, doc_id, sum(score) AS total_score FROM lines GROUP BY ALL),
+excluded AS (
+  SELECT review_id, doc_id, 'QE' || min(o_orderkey) AS excluded_by FROM lines
+  WHERE n = 1 AND score = 0 AND o_orderpriority = '1-URGENT' GROUP BY ALL
+),
+many AS (
+  SELECT review_id, doc_id, total_score, excluded_by,
+         CASE WHEN excluded_by IS NULL AND total_score <> 0 AND total_score >= c_acctbal / 1000
+              THEN 'ANALYSED' ELSE 'REJECTED' END AS status
+  FROM totals LEFT JOIN excluded USING (review_id, doc_id) JOIN customer ON c_custkey = review_id
+)"""
+ORACLES["many_reviews"] = f"""
+WITH {_LINES}
+SELECT *, CASE WHEN status = 'ANALYSED' THEN NULL WHEN excluded_by IS NOT NULL THEN 'EXCLUDED' ELSE 'CUTOFF' END AS reason
+FROM many"""
+ORACLES["many_answers"] = f"""
+WITH {_LINES}
+SELECT review_id, doc_id, 'QE' || o.o_orderkey AS id, o.o_orderpriority AS question,
+       coalesce(answer, '') AS answer, score, score IN (0, 0.5, o_totalprice) AS allowed
+FROM many JOIN orders o ON o.o_custkey = review_id
+LEFT JOIN (SELECT * FROM lines WHERE n = 1) l USING (review_id, doc_id, o_orderkey)"""
+ORACLES["many_fields"] = f"""
+WITH {_LINES}, counted AS (SELECT review_id, doc_id, o_orderstatus, count(*) AS k FROM lines GROUP BY ALL)
+SELECT review_id, doc_id, o.o_orderkey AS ord, 'ORDER ' || o_orderstatus AS field_key,
+       coalesce('seen ' || k, '') AS value
+FROM many JOIN orders o ON o.o_custkey = review_id LEFT JOIN counted USING (review_id, doc_id, o_orderstatus)
+WHERE status = 'ANALYSED'"""
+
+# Columns of both questionnaires, in the order of the runs; what a run did not ask is null.
+_EVERY_ID = [*SCHEMA.question_ids, *(i for i in LATER_SCHEMA.question_ids if i not in SCHEMA.question_ids)]
+
+
+def _asked(qid: str, column: str) -> str:
+    runs = [rest for rest, schema in ((0, SCHEMA), (1, LATER_SCHEMA)) if qid in schema.question_ids]
+    return f'CASE WHEN d.doc_id % 2 IN ({", ".join(map(str, runs))}) THEN {column} END'
+
+
+ORACLES["report_across_runs"] = f"""
+WITH {_decisions(True)}
+SELECT d.doc_id, CASE d.doc_id % 2 WHEN 0 THEN '{RUN_TS}' ELSE '{NEXT_RUN_TS}' END AS run_ts,
+  any_value(d.title) AS "TITLE", {", ".join(
+    _asked(i, f"coalesce(max(descr) FILTER (qid = '{i}'), '')") + f' AS "{i}", '
+    + _asked(i, f"max(score) FILTER (qid = '{i}')") + f' AS "{i}_SCORE"' for i in _EVERY_ID
+  )}, any_value(d.total_score) AS "TOTAL_SCORE"
+FROM decisions d LEFT JOIN last_items i ON i.doc_id = d.doc_id
+WHERE d.status IN ('ANALYSED', 'REJECTED') GROUP BY d.doc_id"""

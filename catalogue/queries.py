@@ -14,18 +14,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogue import samples
-from catalogue.sample_schema import SCHEMA
+from catalogue.sample_schema import LATER_SCHEMA, SCHEMA
 from papersieve.functions.text import file_stem, preview, truncate
 from papersieve.operators import inference, parsing, reports, requests
 from papersieve.operators.triage import excluded_by_join
-from papersieve.plans.review import review, run_review
+from papersieve.plans.many import field_values, quality_answers, review_many
+from papersieve.plans.review import report_paths, review, run_review, write_run
 from papersieve.sources.corpus import pending_documents, with_text
-from papersieve.sources.reports import read_report
+from papersieve.sources.reports import read_across_runs, read_manifest, read_report
 from papersieve.sources.storage import shared_folder
+from papersieve.streaming.attempts import read_outcomes, start_attempts, wait_for_input
+from papersieve.streaming.review import REPLY, read_review, start_review
 
 Query = Callable[[SparkSession, str], DataFrame]
 RUN_TS = "2024-05-06 07:08:09"
+NEXT_RUN_TS = "2024-05-07 07:08:09"
 MODEL = "sample-model"
+BACKEND = "http://backend.example/v1"
 CONTENT_LIMIT = 2000
 
 
@@ -312,7 +317,8 @@ def response_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def response_log_text(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.log_text(response_log(spark, folder))
+    heading = reports.log_heading(spark, RUN_TS, BACKEND, MODEL)
+    return reports.log_text(heading.unionByName(response_log(spark, folder)))
 
 
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
@@ -338,6 +344,91 @@ def report_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return read_report(spark, paths.qa_report, SCHEMA.qa_header(), keys)
 
 
+def run_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """What counts after a run on a third of the documents, one on the rest, that again, and a broken one."""
+    out = f"{shared_folder(spark)}/review-{uuid.uuid4().hex}"
+    documents, replies = samples.papers(samples.documents(spark, folder)), _replies(spark, folder)
+    known = report_paths(out).manifest
+    run_review(documents.where("doc_id % 3 = 0"), replies, SCHEMA, out, RUN_TS, mode="append", keep_former=True)
+    first = read_manifest(spark, known).where(F.col("run_ts") == RUN_TS)
+    for _ in range(2):  # the second time replaces what the first has written
+        run_review(documents, replies, SCHEMA, out, NEXT_RUN_TS, mode="append", earlier=first, keep_former=True)
+    write_run(documents, replies, SCHEMA, out, RUN_TS)  # never committed
+    return read_manifest(spark, known).select("doc_id", "run_ts", "status")
+
+
+def report_across_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality reports of two runs with different questionnaires, read as one table."""
+    out = f"{shared_folder(spark)}/review-{uuid.uuid4().hex}"
+    documents, replies = samples.papers(samples.documents(spark, folder)), _replies(spark, folder)
+    for rest, schema, run_ts in ((0, SCHEMA, RUN_TS), (1, LATER_SCHEMA, NEXT_RUN_TS)):
+        run_review(documents.where(F.col("doc_id") % 2 == rest), replies, schema, out, run_ts, mode="append", keep_former=True)
+    return read_across_runs(spark, out, "qa_report")
+
+
+# Many reviews -----------------------------------------------------------------
+
+def _many(spark: SparkSession, folder: str) -> DataFrame:
+    reviews, _, _ = samples.review_tables(spark, folder)
+    cutoffs = reviews.withColumn("cutoff", F.col("cutoff") / 1000)
+    return review_many(samples.line_replies(spark, folder), cutoffs, samples.urgent_orders(spark, folder))
+
+
+def many_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer is a review, its orders are the questions, its line numbers the documents."""
+    return _many(spark, folder).select(
+        "review_id", "doc_id", "total_score", "excluded_by", "status", "reason"
+    )
+
+
+def many_answers(spark: SparkSession, folder: str) -> DataFrame:
+    _, questions, _ = samples.review_tables(spark, folder)
+    return quality_answers(_many(spark, folder), questions).drop("ord")
+
+
+def many_fields(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, fields = samples.review_tables(spark, folder)
+    return field_values(_many(spark, folder), fields)
+
+
+# Streams ----------------------------------------------------------------------
+
+def review_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions of a stream that is started twice: beginnings of replies to odd documents, then all replies."""
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    replies = _replies(spark, folder).select("doc_id", "response")
+    whole = samples.known_papers(spark, folder).join(replies, "doc_id").select(
+        "doc_id", "file_name", "has_text", "response"
+    )
+    begun = F.when(F.col("doc_id") % 2 == 1, F.left("response", F.lit(40))).otherwise(F.col("response"))
+    for delivery in (whole.withColumn("response", begun), whole):
+        delivery.write.mode("append").parquet(f"{out}/replies")
+        stream = spark.readStream.schema(REPLY).parquet(f"{out}/replies")
+        start_review(stream, SCHEMA, f"{out}/decisions", f"{out}/checkpoint").awaitTermination()
+    return read_review(spark, f"{out}/decisions", SCHEMA).select(
+        "doc_id", "title", "total_score", "status", "reason", "excluded_by"
+    )
+
+
+def attempts_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of attempts that arrive in two deliveries, the later ones first."""
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    attempts = samples.attempts(spark, folder)
+    for delivery in (attempts.where("attempt > 2"), attempts.where("attempt <= 2")):
+        delivery.write.mode("append").parquet(f"{out}/attempts")
+        stream = spark.readStream.schema(inference.ATTEMPT_TYPE).parquet(f"{out}/attempts")
+        running = start_attempts(stream, f"{out}/outcomes", f"{out}/checkpoint", every="1 second")
+        try:
+            wait_for_input(running)
+        finally:
+            running.stop()
+    return read_outcomes(spark, f"{out}/outcomes").select(
+        "doc_id", "outcome", F.col("n_attempts").cast("bigint").alias("n_attempts"),
+        F.col("status_code").cast("bigint").alias("status_code"), "error_kind",
+        requests.extract_reply(F.col("body")).alias("reply"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "pending_documents": pending,
     "assemble_pages": assemble_pages,
@@ -378,4 +469,11 @@ QUERIES: dict[str, Query] = {
     "response_log_text": response_log_text,
     "artifacts": artifacts,
     "report_round_trip": report_round_trip,
+    "run_snapshot": run_snapshot,
+    "report_across_runs": report_across_runs,
+    "many_reviews": many_reviews,
+    "many_answers": many_answers,
+    "many_fields": many_fields,
+    "review_stream": review_stream,
+    "attempts_stream": attempts_stream,
 }

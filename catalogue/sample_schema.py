@@ -26,14 +26,26 @@ _WANTED = {
     "LICENSE": "License that the text states.",
 }
 
+_DECIDED_BY = {"cutoff_score": 6.5, "excluding_questions": ["QE1", "QE7", "QE8"]}
+
 SCHEMA = ReviewSchema.from_dict({
     "quality_assessment_questions": [
         {"id": f"QE{k}", "question": question, "scores": scores}
         for k, (question, scores) in enumerate(zip(_ASKED, ALLOWED_SCORES), 1)
     ],
-    "cutoff_score": 6.5,
-    "excluding_questions": ["QE1", "QE7", "QE8"],
+    **_DECIDED_BY,
     "data_extraction_fields": [
         {"key": key, "description": text} for key, text in _WANTED.items()
     ],
 })
+
+# A later questionnaire: fewer of the questions, a new one, other fields.
+LATER_SCHEMA = ReviewSchema.from_dict({
+    "quality_assessment_questions": [
+        {"id": q.id, "question": q.question, "scores": list(q.scores)} for q in SCHEMA.questions[4:]
+    ] + [{"id": "QE9", "question": "Would you read it again?", "scores": [0.0, 1.0]}],
+    **_DECIDED_BY,
+    "data_extraction_fields": [
+        {"key": key, "description": text} for key, text in [*list(_WANTED.items())[2:], ("COUNTRY", "Where it was written.")]
+    ],
+})

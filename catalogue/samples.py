@@ -257,3 +257,52 @@ def capital_values(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("\nLICENSE: "), shown("lang"), F.lit(f" SEEN: no\n{fv.DE_END}"),
     )
     return rows.select("doc_id", reply.alias("response"))
+
+
+def urgent_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """``review_id, ord, id``: urgent orders are the questions that exclude."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").where("o_orderpriority = '1-URGENT'")
+    return orders.select(
+        F.col("o_custkey").alias("review_id"), F.col("o_orderkey").alias("ord"),
+        F.format_string("QE%d", "o_orderkey").alias("id"),
+    )
+
+
+def line_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """A reply for each customer and line number: an item for each such line of the customer's orders.
+
+    The score of an item is what the quantity leaves when it is divided by three; a field for each status of orders
+    says how many lines there are.
+    """
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey"
+    )
+    line = F.struct("o_orderkey", "l_quantity", "l_partkey", "l_suppkey", "o_orderstatus")
+    held = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy(F.col("o_custkey").alias("review_id"), F.col("l_linenumber").cast("bigint").alias("doc_id"))
+        .agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    )
+
+    def item(x: Column) -> Column:
+        qid = F.concat(F.lit("QE"), x["o_orderkey"].cast("string"))
+        shown = (x["l_quantity"] % 3).cast("int").cast("string")
+        return F.concat(
+            qid, F.lit(": part "), x["l_partkey"].cast("string"), F.lit(" from "), x["l_suppkey"].cast("string"),
+            F.lit("\n"), qid, F.lit(f"{fv.SCORE_SUFFIX}: "), shown, F.lit("\n"),
+        )
+
+    def field(status: Column) -> Column:
+        n = F.size(F.filter("lines", lambda x: x["o_orderstatus"] == status)).cast("string")
+        return F.concat(F.lit("ORDER "), status, F.lit(": seen "), n, F.lit("\n"))
+
+    kinds = F.sort_array(F.array_distinct("lines.o_orderstatus"))
+    response = F.concat(
+        F.lit(fv.QA_START + "\n"), F.array_join(F.transform("lines", item), ""), F.lit(fv.QA_END + "\n"),
+        F.lit(fv.DE_START + "\n"), F.array_join(F.transform(kinds, field), ""), F.lit(fv.DE_END),
+    )
+    return held.select(
+        "review_id", "doc_id", F.format_string("line_%d.pdf", "doc_id").alias("file_name"),
+        F.lit(True).alias("has_text"), response.alias("response"),
+    )

@@ -64,6 +64,7 @@ TRUNCATION_NOTICE = "... [Content truncated due to length]"
 NO_RESPONSE_NOTICE = "*** NO RESPONSE RECEIVED ***"
 LOG_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 LOG_RULE = "=" * 80
+LOG_HEADING = "=== LLM Response Log - Started at %s ===\n\nUsing LLM backend at %s (model: %s)\n"
 
 # --- Fixed values: request defaults and retry policy.
 SYSTEM_MESSAGE = "Be precise in your answers and follow the given instructions."

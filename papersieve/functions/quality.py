@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from papersieve import fixed_values as fv
+from papersieve.functions.arrays import bound, scan
 from papersieve.functions.text import number, section, strip
 
 
@@ -33,74 +34,183 @@ def _scored(items: Column) -> Column:
     return F.filter(items, lambda item: item["score"].isNotNull())
 
 
-def marked_matches(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
-    """Spans from an id to the nearest score that carries the same id.
+def _marks(text: Column, id_pattern: str, score: str) -> Column:
+    """``STRUCT<marks, gaps>``: ids in order, as ``STRUCT<qid, at, scores, shown>``, and the texts around them.
 
-    ``id_pattern`` must hold no capturing group and match no colon.
+    A mark is an id with a colon, or with the suffix of its score and what ``score``
+    matches behind it. One pass finds the marks, another what lies between, so
+    the text is never searched again from an id. ``gaps`` has one element more.
     """
-    score = rf"{fv.SCORE_SUFFIX}:{fv.SPACE}*+[0-9.]+"
-    searched = _up_to_last(text, f"(?:{id_pattern}){score}")
-    return F.regexp_extract_all(searched, F.lit(rf"(?s)({id_pattern}):.*?\1{score}"), F.lit(0))
+    pattern = rf"(?:{id_pattern})(?::|{fv.SCORE_SUFFIX}:{score})"
 
+    def mark(token: Column, at: Column) -> Column:
+        # neither an id nor a score holds a colon
+        qid = F.substring_index(token, ":", 1)
+        scores = F.endswith(qid, F.lit(fv.SCORE_SUFFIX))
+        return F.struct(
+            F.when(scores, F.substring_index(qid, fv.SCORE_SUFFIX, 1)).otherwise(qid).alias("qid"),
+            at.alias("at"), scores.alias("scores"), token.alias("shown"),
+        )
 
-def marked_items(matches: Column) -> Column:
-    """Items of marked spans; one whose score is no number is left out.
+    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.struct(F.transform(tokens, mark).alias("marks"), F.split(text, pattern, -1).alias("gaps"))
+
+
+def _between(found: Column, first: Column, last: Column) -> Column:
+    """The text between two marks, marks on the way included."""
+    inner = F.transform(
+        F.sequence(first + 1, last - 1),
+        lambda at: F.concat(F.get(found["gaps"], at), F.get(found["marks"], at)["shown"]),
+    )
+    closing = F.get(found["gaps"], last)
+    return F.when(last - first == 1, closing).otherwise(F.concat(F.array_join(inner, ""), closing))
+
+
+def _marks_in_order(marks: Column) -> Column:
+    return F.sort_array(
+        F.transform(marks, lambda m: F.struct(m["qid"].alias("qid"), m["at"].alias("at"), m["scores"].alias("scores")))
+    )
+
+
+def _own_scores(marks: Column) -> Column:
+    """``STRUCT<start, end>``: for each id with a later score of its own, the places of both, in order.
+
+    Marks sorted by id hold an id's marks together; read backwards, the score
+    that was seen last is the next one.
+    """
+    pairs = scan(
+        F.reverse(_marks_in_order(marks)),
+        F.struct(F.lit("").alias("qid"), F.lit(-1).alias("end")),
+        lambda seen, m: F.when(m["scores"], F.struct(m["qid"].alias("qid"), m["at"].alias("end"))).otherwise(seen),
+        lambda seen, m: F.when(
+            ~m["scores"] & (seen["end"] >= 0) & (seen["qid"] == m["qid"]),
+            F.struct(m["at"].alias("start"), seen["end"].alias("end")),
+        ),
+        "struct<start:int,end:int>",
+    )
+    return F.sort_array(pairs)
+
+
+def marked_matches(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
+    """Spans from an id to the nearest score that carries the same id: ``STRUCT<qid, descr, shown>``.
 
-    A span opens with its id and ends with its score, so plain string functions
-    take it apart; running the pattern again for each group would cost more.
+    A span opens with the first id that has a score of its own behind it, and the
+    next one opens behind that score. Linear but for sorting the marks, whatever
+    ids lack a score. ``id_pattern`` must hold no capturing group and match no
+    colon, and no id may overlap another.
     """
-    def cut(span: Column) -> Column:
-        qid = F.substring_index(span, ":", 1)
-        marker = F.concat(qid, F.lit(fv.SCORE_SUFFIX + ":"))
-        tail = F.call_function("substring_index", span, marker, F.lit(-1))
-        return F.struct(span.alias("span"), qid.alias("qid"), tail.alias("tail"))
-
-    def item(part: Column) -> Column:
-        head = F.length(part["qid"]) + 1
-        # the marker is as long as the id plus "_SCORE:"
-        size = (
-            F.length(part["span"]) - head - F.length(part["tail"])
-            - F.length(part["qid"]) - len(fv.SCORE_SUFFIX + ":")
+    def spans(found: Column) -> Column:
+        chosen = scan(
+            _own_scores(found["marks"]),
+            F.lit(-1),
+            lambda end, pair: F.when(pair["start"] > end, pair["end"]).otherwise(end),
+            lambda end, pair: F.when(pair["start"] > end, pair),
+            "struct<start:int,end:int>",
         )
-        descr = F.substr(part["span"], head + 1, size)
-        return _item(part["qid"], descr, strip(part["tail"]).try_cast("double"))
+        return F.transform(
+            chosen,
+            lambda pair: F.struct(
+                F.get(found["marks"], pair["start"])["qid"].alias("qid"),
+                _between(found, pair["start"], pair["end"]).alias("descr"),
+                F.substring_index(F.get(found["marks"], pair["end"])["shown"], ":", -1).alias("shown"),
+            ),
+        )
+
+    return bound(_marks(text, id_pattern, rf"{fv.SPACE}*+[0-9.]++"), spans)
+
+
+def marked_items(matches: Column) -> Column:
+    """Items of marked spans; one whose score is no number is left out."""
+    return _scored(
+        F.transform(matches, lambda m: _item(m["qid"], m["descr"], strip(m["shown"]).try_cast("double")))
+    )
+
+
+def _first_scores(marks: Column) -> Column:
+    """``STRUCT<qid, start, end>``: of each id, its first mention and the first score of its own behind that."""
+    def state(qid: Column, at: Column, done: bool) -> Column:
+        return F.struct(qid.alias("qid"), at.alias("at"), F.lit(done).alias("done"))
+
+    return scan(
+        _marks_in_order(marks),
+        state(F.lit(""), F.lit(-1), True),
+        lambda seen, m: F.when(m["qid"] == seen["qid"], F.when(m["scores"], state(seen["qid"], seen["at"], True)).otherwise(seen))
+        .when(m["scores"], seen).otherwise(state(m["qid"], m["at"], False)),
+        lambda seen, m: F.when(
+            m["scores"] & (m["qid"] == seen["qid"]) & ~seen["done"],
+            F.struct(m["qid"].alias("qid"), seen["at"].alias("start"), m["at"].alias("end")),
+        ),
+        "struct<qid:string,start:int,end:int>",
+    )
 
-    return _scored(F.transform(F.transform(matches, cut), item))
+
+def _next_others(marks: Column) -> Column:
+    """For each mark, the place of the first later mention of another id than the one mentioned there."""
+    def state(qid: Column, at: Column, other: Column) -> Column:
+        return F.struct(qid.alias("qid"), at.cast("int").alias("at"), other.cast("int").alias("other"))
+
+    def other(seen: Column, m: Column) -> Column:
+        return F.when(m["qid"] == seen["qid"], seen["other"]).otherwise(seen["at"])
+
+    backwards = scan(
+        F.reverse(marks),
+        state(F.lit(""), F.lit(None), F.lit(None)),
+        lambda seen, m: F.when(m["scores"], seen).otherwise(state(m["qid"], m["at"], other(seen, m))),
+        lambda seen, m: F.struct(other(seen, m).alias("other")),
+        "struct<other:int>",
+    )
+    return F.reverse(backwards)
 
 
 def positional_items(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
     """Items located by the position of their markers, for scores of other shapes.
 
     Each mention of an id stands for the id's first occurrence, so an id that
-    is mentioned twice yields its item twice.
+    is mentioned twice yields its item twice. An answer ends at the id's score, or
+    before that where another id is mentioned; a score ends at a blank. Ids as
+    for ``marked_matches``, and linear like that.
     """
-    ids = F.regexp_extract_all(text, F.lit(rf"({id_pattern}):"), F.lit(1))
-
-    def place(qid: Column) -> Column:
-        label = F.concat(qid, F.lit(":"))
-        marker = F.concat(qid, F.lit(fv.SCORE_SUFFIX + ":"))
-        first = F.position(label, text)
-        begin = first + F.length(label)
-        return F.struct(
-            qid.alias("qid"),
-            begin.alias("begin"),
-            F.position(marker, text, first).alias("scored_at"),
-            F.length(marker).alias("marker_size"),
+    def answered(found: Column) -> Column:
+        """``STRUCT<qid, item>`` of each id with a score that is a number."""
+        def item(pair: Column) -> Column:
+            behind = F.get(found["gaps"], pair["end"] + 1)
+            # without a blank a score runs into the next mark, so that it is no number
+            ends = F.contains(behind, F.lit(" ")) | (pair["end"] + 2 == F.size(found["gaps"]))
+            score = number(F.when(ends, F.substring_index(behind, " ", 1)))
+            stop = F.least(pair["end"], F.get(found["others"], pair["start"])["other"])
+            descr = F.when(score.isNotNull(), _between(found, pair["start"], stop))
+            return F.struct(pair["qid"].alias("qid"), _item(pair["qid"], descr, score).alias("item"))
+
+        return F.filter(F.transform(_first_scores(found["marks"]), item), lambda known: known["item"]["score"].isNotNull())
+
+    def mentioned(found: Column) -> Column:
+        """The items of all mentions, in their order."""
+        shape = "struct<qid:string,descr:string,score:double>"
+        known = F.transform(
+            answered(found), lambda k: F.struct(k["qid"].alias("qid"), F.lit(-1).alias("at"), k["item"].alias("item"))
         )
-
-    def item(part: Column) -> Column:
-        answer = F.substr(text, part["begin"], part["scored_at"] - part["begin"])
-        # the answer ends early where another id is mentioned
-        other = F.concat(
-            F.lit(r"(?!\Q"), part["qid"], F.lit(r":\E)" + f"(?:{id_pattern}):")
+        mentions = F.transform(
+            F.filter(found["marks"], lambda m: ~m["scores"]),
+            lambda m: F.struct(m["qid"].alias("qid"), m["at"].alias("at"), F.lit(None).cast(shape).alias("item")),
         )
-        # (regexp_instr would count characters beyond the first plane twice)
-        descr = F.get(F.split(answer, other, 2), F.lit(0))
-        tail = F.substr(text, part["scored_at"] + part["marker_size"])
-        return _item(part["qid"], descr, number(F.substring_index(tail, " ", 1)))
+        items = scan(
+            F.sort_array(F.concat(known, mentions)),  # an item comes before the mentions of its id
+            F.struct(F.lit("").alias("qid"), F.lit(None).cast(shape).alias("item")),
+            lambda seen, e: F.when(e["at"] < 0, F.struct(e["qid"].alias("qid"), e["item"].alias("item"))).otherwise(seen),
+            lambda seen, e: F.when(
+                (e["at"] >= 0) & (e["qid"] == seen["qid"]), F.struct(e["at"].alias("at"), seen["item"].alias("item"))
+            ),
+            f"struct<at:int,item:{shape}>",
+        )
+        return F.transform(F.sort_array(items), lambda e: e["item"])
 
-    found = F.filter(F.transform(ids, place), lambda part: part["scored_at"] > 0)
-    return _scored(F.transform(found, item))
+    with_others = bound(
+        _marks(text, id_pattern, ""),
+        lambda found: F.struct(
+            found["marks"].alias("marks"), found["gaps"].alias("gaps"), _next_others(found["marks"]).alias("others")
+        ),
+    )
+    return bound(with_others, mentioned)
 
 
 def unmarked_items(response: Column, id_pattern: str = fv.QUESTION_ID) -> Column:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from papersieve import fixed_values as fv
 from papersieve.operators.requests import extract_reply
-from papersieve.sources.storage import durable
 
 ATTEMPT_TYPE = "doc_id bigint, attempt int, status_code int, error_kind string, body string"
 CALLS_A_GROUP = 16
+CELLS = 4096
+"""Cells that file names are sorted in, each by one task."""
 Send = Callable[[str], tuple[int | None, str | None, str | None]]
 
 
@@ -167,28 +168,56 @@ def attach_responses(known: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+def _cells(names: Column, ends: DataFrame) -> Column:
+    """A number from 0 to ``CELLS`` + 1 that never falls from one name to the next in order, by ``ends``, their span.
+
+    Names between the first and the last share what these two begin with. The
+    seven bytes behind that are a number, and cells of equal width cut it.
+    """
+    def number(name: Column, shared: Column) -> Column:
+        digits = F.rpad(F.left(F.hex(F.substr(name, shared + 1).cast("binary")), F.lit(14)), 14, "0")
+        return F.conv(digits, 16, 10).cast("bigint")
+
+    low, high = F.col("low"), F.col("high")
+    shared = F.aggregate(
+        F.sequence(F.lit(0), F.least(F.length(low), F.length(high))), F.lit(0),
+        lambda most, n: F.when(F.left(low, n) == F.left(high, n), n).otherwise(most),
+    )
+    span = ends.withColumn("shared", shared).select(
+        F.struct("shared", number(low, F.col("shared")).alias("low"), number(high, F.col("shared")).alias("high"))
+    ).scalar()
+    value = number(names, span["shared"])
+    width = (span["high"] - span["low"]).cast("double") / CELLS
+    cell = F.floor(F.try_divide(value - span["low"], width))
+    return F.when(names.isNull(), -1).otherwise(F.coalesce(cell, F.lit(0)))
+
+
 def conversation_batches(
-    documents: DataFrame, size: int = fv.DOCUMENTS_PER_CONVERSATION
+    documents: DataFrame, size: int = fv.DOCUMENTS_PER_CONVERSATION, after: DataFrame | None = None
 ) -> DataFrame:
     """``doc_id, file_name, position, conversation``, ``size`` documents each.
 
-    Positions follow the file names. A window over the whole table would sort it
-    in one task; instead the rows are sorted in parallel, numbered inside their
-    partition, and moved by the row counts of the partitions before.
+    Positions follow the file names, and go on behind those of ``after``, the batches of former runs, if there are any. A
+    window over the whole table would sort it in one task; instead
+    names fall into cells whose bounds follow from the first and the last name, cells are
+    counted, and a document's position is the sum of the cells before its own and its place there. Nothing is run
+    when the table is made, and whenever it is read the same documents have the same positions.
     """
-    ordered = durable(
-        documents.select("doc_id", "file_name").orderBy("file_name", "doc_id")
-        .withColumn("_slot", F.monotonically_increasing_id())
-    ).withColumn("_part", F.shiftright("_slot", 33))
-    # One row for each sort partition, so both the window and the broadcast are
-    # bounded by the number of shuffle partitions.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ordered.groupBy("_part").count().select(
-        "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")
+    rows = documents.select("doc_id", "file_name")
+    ends = rows.agg(F.min("file_name").alias("low"), F.max("file_name").alias("high"))
+    placed = rows.withColumn("_cell", _cells(F.col("file_name"), ends))
+    # a row for each cell, so the window and the broadcast are bounded by CELLS
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_cell").count().select(
+        F.col("_cell").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")
     )
-    position = F.col("_offset") + F.col("_slot") - F.shiftleft("_part", 33)
+    inside = Window.partitionBy("_cell").orderBy("file_name", "doc_id")
+    numbered = placed.withColumn("_place", F.row_number().over(inside) - 1)
+    position = F.col("_offset") + F.col("_place")
+    if after is not None:
+        position = position + after.agg(F.coalesce(F.max("position") + 1, F.lit(0))).scalar()
     return (
-        ordered.join(F.broadcast(offsets), "_part")
+        numbered.join(F.broadcast(offsets), F.col("_cell") == F.col("_of"))
         .withColumn("position", position)
         .select(
             "doc_id", "file_name", "position",

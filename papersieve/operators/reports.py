@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papersieve import fixed_values as fv
@@ -49,13 +49,24 @@ def response_log(attached: DataFrame, run_ts: str) -> DataFrame:
     return attached.select("doc_id", "file_name", logged_at.alias("logged_at"), body.alias("body"))
 
 
+def log_heading(spark: SparkSession, run_ts: str, backend: str, model: str) -> DataFrame:
+    """The opening of a run's log, a row like those of ``response_log`` without a document."""
+    logged_at = F.date_format(F.to_timestamp(F.lit(run_ts)), fv.LOG_TIME_FORMAT)
+    return spark.range(1).select(
+        F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("file_name"),
+        logged_at.alias("logged_at"),
+        F.format_string(fv.LOG_HEADING, logged_at, F.lit(backend), F.lit(model)).alias("body"),
+    )
+
+
 def log_text(log: DataFrame) -> DataFrame:
-    """The log as text records, ready for a text sink: ``doc_id, value``."""
+    """The log as text records, ready for a text sink: ``doc_id, value``. A heading is a record as it is."""
     record = F.format_string(
         f"\n\n{fv.LOG_RULE}\nPDF: %s\nTime: %s\n{fv.LOG_RULE}\n\n%s",
         F.col("file_name"), F.col("logged_at"), F.col("body"),
     )
-    return log.select("doc_id", record.alias("value"))
+    heading = F.col("file_name").isNull() & F.col("doc_id").isNull()
+    return log.select("doc_id", F.when(heading, F.col("body")).otherwise(record).alias("value"))
 
 
 def text_previews(documents: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,15 @@ def excluded_by(newest_items: Column, ids: Column, excluding: tuple[str, ...]) -
     return F.coalesce(*hits, F.lit(None).cast("string"))
 
 
+def excluded_by_any(newest_items: Column, ids: Column, excluding: Column) -> Column:
+    """``excluded_by`` where the excluding questions are a column, an array of ids in their order."""
+    def hit(qid: Column) -> Column:
+        place = F.array_position(ids, qid)
+        return F.coalesce((place > 0) & (F.get(newest_items, (place - 1).cast("int"))["score"] == 0), F.lit(False))
+
+    return F.get(F.filter(excluding, hit), F.lit(0))
+
+
 def excluded_by_join(quality_items: DataFrame, excluding: DataFrame, key: str) -> DataFrame:
     """The same as a set operation over long items: ``key, excluded_by``.
 
@@ -43,9 +54,10 @@ def excluded_by_join(quality_items: DataFrame, excluding: DataFrame, key: str) -
     return hit.groupBy(key).agg(F.min_by("qid", "rank").alias("excluded_by"))
 
 
-def passes_cutoff(total: Column, cutoff: float) -> Column:
+def passes_cutoff(total: Column, cutoff: float | Column) -> Column:
     """A zero total never passes, whatever the cutoff; NaN sorts high, so it is named."""
-    return (total != 0) & ~F.isnan(total) & (total >= F.lit(float(cutoff)))
+    least = cutoff if isinstance(cutoff, Column) else F.lit(float(cutoff))
+    return (total != 0) & ~F.isnan(total) & (total >= least)
 
 
 def triage(parsed: DataFrame, schema: ReviewSchema) -> DataFrame:
@@ -54,17 +66,30 @@ def triage(parsed: DataFrame, schema: ReviewSchema) -> DataFrame:
     Takes the output of both parsers with ``file_name``, ``has_text`` and
     ``response``. Exclusion is tested before the cutoff.
     """
+    return decided_by(
+        parsed,
+        lambda items, ids: excluded_by(items, ids, schema.excluding),
+        lambda total: passes_cutoff(total, schema.cutoff),
+    )
+
+
+def decided_by(
+    parsed: DataFrame,
+    excluded: Callable[[Column, Column], Column],
+    passes: Callable[[Column], Column],
+) -> DataFrame:
+    """``triage`` by any rules: ``excluded`` of the newest items and their ids, ``passes`` of the total."""
     answered = F.coalesce(F.col("response") != "", F.lit(False))
-    excluded = F.col("excluded_by").isNotNull()
+    is_excluded = F.col("excluded_by").isNotNull()
     status = (
         F.when(~F.col("has_text"), fv.NO_TEXT)
         .when(~answered, fv.NO_RESPONSE)
         .when(F.col("qa_failed"), fv.PARSE_ERROR)
-        .when(~excluded & F.col("passes_cutoff"), fv.ANALYSED)
+        .when(~is_excluded & F.col("passes_cutoff"), fv.ANALYSED)
         .otherwise(fv.REJECTED)
     )
     reason = F.when(
-        F.col("status") == fv.REJECTED, F.when(excluded, fv.EXCLUDED).otherwise(fv.CUTOFF)
+        F.col("status") == fv.REJECTED, F.when(is_excluded, fv.EXCLUDED).otherwise(fv.CUTOFF)
     )
     decided = (
         parsed.withColumns({"_items": F.reverse("qa_items"), "_fields": F.reverse("de_items")})
@@ -74,10 +99,8 @@ def triage(parsed: DataFrame, schema: ReviewSchema) -> DataFrame:
                 answered, resolve_title(F.col("_fields"), F.col("_keys"), F.col("file_name"))
             ),
             "has_title": F.coalesce(F.array_contains("_keys", fv.TITLE), F.lit(False)),
-            "excluded_by": excluded_by(F.col("_items"), F.col("_ids"), schema.excluding),
-            "passes_cutoff": F.coalesce(
-                passes_cutoff(F.col("total_score"), schema.cutoff), F.lit(False)
-            ),
+            "excluded_by": excluded(F.col("_items"), F.col("_ids")),
+            "passes_cutoff": F.coalesce(passes(F.col("total_score")), F.lit(False)),
         })
         .withColumn("status", status)
         .withColumn("reason", reason)

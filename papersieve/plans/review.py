@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papersieve import fixed_values as fv
+from papersieve.functions.text import preview
 from papersieve.operators.inference import attach_responses, without_text
 from papersieve.operators.parsing import parse_extraction, parse_quality
 from papersieve.operators.reports import (
     artifacts,
     extraction_report,
+    log_heading,
     manifest,
     quality_report,
     response_log,
-    text_previews,
 )
 from papersieve.operators.triage import triage
 from papersieve.schema import ReviewSchema
 from papersieve.sources.corpus import pending_documents
+from papersieve.sources.reports import write_headers
+from papersieve.sources.runs import RUN_ID, clear, commit, new_run_id, snapshot, vacuum, valid_rows
+
+BROADCAST_IDS = 2_000_000
+"""Ids that are broadcast to find pending documents, some 32 MB."""
 
 
 class Reports(NamedTuple):
@@ -66,39 +72,53 @@ def report_paths(folder: str) -> Reports:
     return Reports(*[f"{folder.rstrip('/')}/{name}" for name in Reports._fields])
 
 
-def run_review(
+def scan_documents(documents: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """``doc_id, file_name, has_text, preview`` of the documents that ``earlier`` has not decided.
+
+    One scan reads the texts, and nothing of them is shuffled where either the
+    pending or the decided ids are few enough to broadcast; they are counted first, without
+    reading texts. Beyond ``BROADCAST_IDS`` of both, openings of texts are shuffled.
+    """
+    readable = F.coalesce(F.col("text") != "", F.lit(False))
+    has_text = F.col("has_text") if "has_text" in documents.columns else readable
+    opening = F.when(readable, preview(F.col("text")))
+    scanned = documents.select("doc_id", "file_name", has_text.alias("has_text"), opening.alias("preview"))
+    if earlier is None:
+        return scanned
+    ids = documents.select("doc_id")
+    decided = earlier.where(F.col("status").isin(*fv.DECIDED)).select("doc_id").distinct()
+    if decided.count() <= BROADCAST_IDS:
+        return scanned.join(F.broadcast(decided), "doc_id", "left_anti")
+    pending = pending_documents(ids, earlier).distinct()
+    if pending.count() <= BROADCAST_IDS:
+        # a document without an id was never decided
+        return scanned.join(F.broadcast(pending), scanned["doc_id"].eqNullSafe(pending["doc_id"]), "left_semi")
+    return pending_documents(scanned, earlier)
+
+
+def write_run(
     documents: DataFrame,
     responses: DataFrame,
     schema: ReviewSchema,
     folder: str,
     run_ts: str,
-    mode: str = "overwrite",
     source: str = "parquet",
     earlier: DataFrame | None = None,
     id_pattern: str = fv.QUESTION_ID,
     options: dict[str, str] | None = None,
     strict_keys: bool = False,
-) -> Reports:
-    """Review what is pending and write every report table below ``folder``.
-
-    The decisions are written first and the reports read them from there: replies
-    are parsed once, a lost executor costs only its own tasks, and a report reads
-    only the statuses it shows. The manifest comes last, so that a run that was
-    broken off leaves its documents pending.
-
-    ``overwrite`` starts all tables anew. ``append`` keeps the other runs and
-    replaces only the partition of this ``run_ts``, so it can be repeated.
-    ``earlier`` is the manifest of former runs, see ``read_manifest``. ``source``
-    and ``options`` are the format of the reports; the decisions are Parquet.
+    backend: tuple[str, str] | None = None,
+) -> str:
+    """Write every table of a run below ``folder`` and return its id; nothing counts before ``commit``.
+
+    Documents are scanned once, into a table of ids and openings. The decisions are written
+    next, and the reports read them from there: replies are parsed once, a
+    lost executor costs only its own tasks, and a report reads only the
+    statuses it shows. The headers of the reports are a table as well. With a ``backend``, its address and model, the log opens with a
+    heading.
     """
-    if mode not in ("overwrite", "append"):
-        raise ValueError(f"mode must be overwrite or append, not {mode}")
-    spark = documents.sparkSession
+    spark, run_id = documents.sparkSession, new_run_id()
     paths = report_paths(folder)
-    todo, previews = without_text(documents), text_previews(documents)
-    if earlier is not None:
-        todo = pending_documents(todo, earlier)
-        previews = pending_documents(previews, earlier)
 
     def write(
         table: DataFrame,
@@ -110,26 +130,91 @@ def run_review(
         if partitions:  # else each task would leave a small file in each partition
             table = table.hint("rebalance", *partitions)
         writer = table.withColumn("run_ts", F.lit(run_ts)).write.format(source).options(**options)
-        if mode == "append":
-            writer = writer.option("partitionOverwriteMode", "dynamic")
-        writer.mode("overwrite").partitionBy("run_ts", *partitions).save(path)
+        writer.mode("errorifexists").partitionBy("run_ts", *partitions).save(f"{path}/{RUN_ID}={run_id}")
+
+    scanned = scan_documents(documents, earlier)
+    write(scanned, scanned_path(folder), source="parquet", options={})
+    known = _read_back(spark, scanned_path(folder), scanned.schema, run_id)
+    todo = known.select("doc_id", "file_name", "has_text")
 
     decided = review_replies(attach_responses(todo, responses), schema, id_pattern, strict_keys)
     write(decided, paths.decisions, "status", source="parquet", options={})
-    decisions = read_decisions(spark, paths.decisions, decided.schema, run_ts)
+    decisions = _read_back(spark, paths.decisions, decided.schema, run_id)
 
     write(quality_report(decisions, schema, "doc_id"), paths.qa_report)
     write(extraction_report(decisions, schema, "doc_id"), paths.de_report)
-    write(response_log(decisions, run_ts), paths.response_log)
+    log = response_log(decisions, run_ts)
+    if backend:
+        log = log_heading(spark, run_ts, *backend).unionByName(log)
+    write(log, paths.response_log)
+    previews = known.where("preview IS NOT NULL").select("doc_id", "file_name", "preview")
     write(artifacts(previews, decisions, schema.prompt()), paths.artifacts)
     write(manifest(decisions), paths.manifest, "status")
-    return paths
+    headers = {"qa_report": schema.qa_header(), "de_report": schema.de_header()}
+    write_headers(spark, folder, run_id, headers)
+    clear(spark, f"{scanned_path(folder)}/{RUN_ID}={run_id}")
+    return run_id
+
+
+def run_review(
+    documents: DataFrame,
+    responses: DataFrame,
+    schema: ReviewSchema,
+    folder: str,
+    run_ts: str,
+    mode: str = "overwrite",
+    source: str = "parquet",
+    earlier: DataFrame | None = None,
+    id_pattern: str = fv.QUESTION_ID,
+    options: dict[str, str] | None = None,
+    strict_keys: bool = False,
+    keep_former: bool = False,
+    backend: tuple[str, str] | None = None,
+) -> Reports:
+    """Review what is pending and write every report table below ``folder``, to count as a whole.
+
+    Tables are written by ``write_run``; one commit at the end makes all of them
+    count at once. Until then, and if the run breaks off, ``read_report`` and ``read_manifest`` give the
+    former runs whole, and all documents of this one are pending still.
+
+    ``overwrite`` lets this run alone count. ``append`` keeps the other runs and
+    replaces only those of this ``run_ts``, so it can be repeated.
+    ``earlier`` is the manifest of former runs, see ``read_manifest``. ``source``
+    and ``options`` are the format of the reports; the decisions are Parquet.
+    What no longer counts is removed at the end, remains of broken runs
+    as well, unless ``keep_former``; ``vacuum`` removes it later. One run at a
+    time may write to a folder; the second of two is refused.
+    """
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode must be overwrite or append, not {mode}")
+    spark = documents.sparkSession
+    before = snapshot(spark, folder)
+    run_id = write_run(
+        documents, responses, schema, folder, run_ts, source, earlier, id_pattern, options, strict_keys, backend
+    )
+    kept = {run: ts for run, ts in before.runs.items() if mode == "append" and ts != run_ts}
+    commit(spark, folder, before, {**kept, run_id: run_ts})
+    if not keep_former:
+        vacuum(spark, folder)
+    return report_paths(folder)
+
+
+def scanned_path(folder: str) -> str:
+    """Where a run keeps ids and openings of texts while it is being written."""
+    return f"{folder.rstrip('/')}/scanned"
+
+
+def _read_back(spark: SparkSession, path: str, columns: T.StructType, run_id: str) -> DataFrame:
+    """What a run has just written. Giving the columns keeps ``run_ts`` text."""
+    stored = T.StructType([*columns.fields, T.StructField("run_ts", T.StringType())])
+    return spark.read.schema(stored).parquet(f"{path}/{RUN_ID}={run_id}").select(*columns.names)
 
 
 def read_decisions(
     spark: SparkSession, path: str, columns: T.StructType, run_ts: str
 ) -> DataFrame:
-    """The written decisions of one run. Giving the columns keeps ``run_ts`` text."""
-    stored = T.StructType([*columns.fields, T.StructField("run_ts", T.StringType())])
+    """The written decisions of one run that counts."""
+    text = T.StringType()
+    stored = T.StructType([*columns.fields, T.StructField("run_ts", text), T.StructField(RUN_ID, text)])
     rows = spark.read.schema(stored).parquet(path).where(F.col("run_ts") == run_ts)
-    return rows.select(*columns.names)
+    return valid_rows(rows, path.rstrip("/").rpartition("/")[0]).select(*columns.names)

@@ -29,7 +29,7 @@ EXCLUDING_TABLE = T.StructType([
 ])
 
 # Columns that reports carry beside those of their header.
-KEY_COLUMNS = ("doc_id", "run_ts")
+KEY_COLUMNS = ("doc_id", "run_ts", "run_id")
 
 
 @dataclass(frozen=True)

@@ -168,6 +168,38 @@ def test_conversations_follow_file_names(spark, size):
     assert all(r["conversation"] == r["position"] // size for r in rows)
 
 
+@pytest.mark.parametrize("names", [
+    [], ["same.pdf"] * 9, ["a", "b"], ["", "z", None, "z", None], ["ab", "a", "abc", "a\x00", "a\x00\x00"],
+    ["Paper 10.pdf", "paper 2.pdf", "\u00e9t\u00e9.pdf", "\U0001f600.pdf", "zz", "_x"],
+    [f"{'x' * 40}{i}" for i in range(60)],
+])
+def test_conversations_of_odd_names(spark, names):
+    documents = spark.createDataFrame(list(enumerate(names)), "doc_id bigint, file_name string").repartition(3)
+    rows = inference.conversation_batches(documents, 4).collect()
+    order = sorted(enumerate(names), key=lambda d: (d[1] is not None, (d[1] or "").encode(), d[0]))
+    assert sorted((r["position"], r["doc_id"], r["file_name"]) for r in rows) == [
+        (n, i, name) for n, (i, name) in enumerate(order)
+    ]
+
+
+def test_positions_go_on_from_run_to_run_and_nothing_runs_early(spark):
+    context = spark.sparkContext
+    documents = spark.range(100).select(
+        F.col("id").alias("doc_id"), F.format_string("doc_%d.pdf", "id").alias("file_name")
+    )
+    context.setJobGroup("conversations", "numbering")
+    try:
+        none = inference.conversation_batches(documents.limit(0))
+        first = inference.conversation_batches(documents.where("doc_id % 3 = 0"), after=none)
+        second = inference.conversation_batches(documents.where("doc_id % 3 <> 0"), after=first)
+        assert not context.statusTracker().getJobIdsForGroup("conversations")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    rows = first.unionAll(second).collect()
+    assert sorted(r["position"] for r in rows) == list(range(100))
+    assert {r["position"] for r in rows if r["doc_id"] % 3 == 0} == set(range(34))
+
+
 def test_a_document_with_two_replies_stays_one_row(spark):
     known = spark.createDataFrame([(1, "a", True), (2, "b", True)], "doc_id int, file_name string, has_text boolean")
     replies = spark.createDataFrame([(1, "x"), (1, "y"), (1, None)], "doc_id int, response string")
