@@ -190,10 +190,10 @@ class DocumentFiles(DataSource):
     def name(cls) -> str:
         return "documents"
 
-    def schema(self) -> T.StructType:
+    def schema(self) -> str:
         columns = "path string, file_name string, size bigint, modified timestamp"
         content = self.options.get("content", "true").lower() != "false"
-        return T.StructType.fromDDL(columns + (", content binary" if content else ""))
+        return columns + (", content binary" if content else "")
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return DocumentReader(dict(self.options))
