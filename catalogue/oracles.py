@@ -42,11 +42,44 @@ def _score(k: int) -> str:
     )
 
 
+# Documents with what their replies quote, and their labels.
+DESCRIBED = """(
+  SELECT d.*, replace(replace(coalesce(text, ''), 'QE', 'qe'), '==', '--') AS quoted, l.quality, l.toxic
+  FROM documents d
+  LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l
+    ON l.doc_id = d.doc_id
+)"""
+
+
+def _shown_score(k: int) -> str:
+    """The score of question ``k``, counted from 0: labels where there are any tell two of them."""
+    label = {0: "quality", 5: "toxic"}.get(k)
+    if label is None:
+        return _score(k)
+    value = label if k == 0 else f"1 - {label}"
+    return f"CASE WHEN {label} IN (0, 1) THEN ({value})::DOUBLE ELSE {_score(k)} END"
+
+
+def _eighth(k: int) -> str:
+    """Part ``k``, counted from 1, of eight that make up the quoted text."""
+    start, end = f"({k - 1} * length(quoted) // 8)", f"({k} * length(quoted) // 8)"
+    return f"substr(quoted, {start} + 1, {end} - {start})"
+
+
+def _letters(value: str) -> str:
+    return f"regexp_replace(lower({value}), '[^a-z]+', ' ', 'g')"
+
+
+_TITLE = f"'study of ' || {_letters('substr(quoted, 1, 40)')}"
+_AUTHOR = f"'a. ' || {_letters("coalesce(source, 'writer')")}"
+_YEAR = "(2000 + coalesce(n_chars, doc_id) % 25)::VARCHAR"
+_CAMERA = f"'camera ' || {_letters("coalesce(lang, 'none')")}"
+
 # Every item a reply should yield, in order. Question 9 of the working list is
 # the extra item of classes 8 and 9.
 _QUESTION_ROWS = " UNION ALL ".join(
     f"SELECT doc_id, {k} AS slot, 'QE{k + 1}' AS qid, "
-    f"'note ' || doc_id || ' part {k + 1}' AS descr, {_score(k)} AS score FROM documents"
+    f"replace({_strip(_eighth(k + 1))}, chr(34), '') AS descr, {_shown_score(k)} AS score FROM {DESCRIBED}"
     for k in range(len(ALLOWED_SCORES))
 )
 ITEMS = f"""
@@ -88,18 +121,18 @@ wide AS (
 )"""
 
 # Fields of a reply: classes 3 and 6 lose them, class 10 has no reply.
-FIELDS = """
+FIELDS = f"""
 fields AS (
   SELECT doc_id, f.ord, f.key, f.value,
          CASE WHEN doc_id % 12 = 5 OR doc_id % 24 = 11 THEN 'unmarked' ELSE 'marked' END AS de_strategy
   FROM (
     SELECT doc_id, unnest([
-      {'ord': 0, 'key': 'TITLE', 'value': 'study of item ' || doc_id},
-      {'ord': 1, 'key': 'AUTHOR', 'value': 'a. writer'},
-      {'ord': 2, 'key': 'YEAR', 'value': (2000 + doc_id % 25)::VARCHAR},
-      {'ord': 3, 'key': 'VISION SYSTEM', 'value': 'camera ' || (doc_id % 3)}
+      {{'ord': 0, 'key': 'TITLE', 'value': trim({_TITLE})}},
+      {{'ord': 1, 'key': 'AUTHOR', 'value': trim({_AUTHOR})}},
+      {{'ord': 2, 'key': 'YEAR', 'value': {_YEAR}}},
+      {{'ord': 3, 'key': 'VISION SYSTEM', 'value': trim({_CAMERA})}}
     ]) AS f
-    FROM documents WHERE doc_id % 12 NOT IN (3, 6, 10)
+    FROM {DESCRIBED} WHERE doc_id % 12 NOT IN (3, 6, 10)
   )
 )"""
 
@@ -118,7 +151,7 @@ decisions AS (
          {no_text} AS no_text,
          CASE WHEN ({no_text}) OR d.doc_id % 12 = 10 THEN NULL
               WHEN d.doc_id % 12 IN (3, 6) THEN 'doc_' || d.doc_id
-              ELSE 'study of item ' || d.doc_id END AS title,
+              ELSE trim({_TITLE}) END AS title,
          CASE WHEN {no_text} THEN NULL ELSE t.total_score END AS total_score,
          CASE WHEN {no_text} THEN NULL ELSE e.excluded_by END AS excluded_by,
          coalesce(t.total_score <> 0 AND t.total_score >= {SCHEMA.cutoff}, false)
@@ -133,7 +166,7 @@ decisions AS (
               WHEN e.excluded_by IS NOT NULL THEN 'EXCLUDED'
               WHEN t.total_score <> 0 AND t.total_score >= {SCHEMA.cutoff} THEN NULL
               ELSE 'CUTOFF' END AS reason
-  FROM documents d
+  FROM {DESCRIBED} d
   LEFT JOIN totals t ON t.doc_id = d.doc_id
   LEFT JOIN exclusion e ON e.doc_id = d.doc_id
 )"""
@@ -142,18 +175,18 @@ decisions AS (
 # The reply itself, needed where a query returns it.
 _GAP = "CASE WHEN doc_id % 12 = 4 THEN ' ' ELSE chr(10) END"
 _SHOWN = [
-    f"({_score(k)})::VARCHAR"
+    f"({_shown_score(k)})::VARCHAR"
     + (" || CASE WHEN doc_id % 12 = 7 OR doc_id % 24 = 11 THEN '.' ELSE '' END" if k == 2 else "")
     for k in range(len(ALLOWED_SCORES))
 ]
 _BODY = " || gap || ".join(
-    f"'QE{k}: note ' || doc_id || ' part {k}' || gap || 'QE{k}_SCORE: ' || s{k}"
+    f"'QE{k}: ' || {_eighth(k)} || gap || 'QE{k}_SCORE: ' || s{k}"
     for k in range(1, len(ALLOWED_SCORES) + 1)
 )
 REPLIES = f"""
 spaced AS (
-  SELECT doc_id, {_GAP} AS gap, {", ".join(f"{c} AS s{k}" for k, c in enumerate(_SHOWN, 1))}
-  FROM documents
+  SELECT *, {_GAP} AS gap, {", ".join(f"{c} AS s{k}" for k, c in enumerate(_SHOWN, 1))}
+  FROM {DESCRIBED}
 ),
 parts AS (
   SELECT doc_id, gap,
@@ -161,8 +194,8 @@ parts AS (
       WHEN doc_id % 12 = 8 THEN gap || 'QE2: note ' || doc_id || ' again' || gap || 'QE2_SCORE: 1.0'
       WHEN doc_id % 12 = 9 THEN gap || 'QE9: note ' || doc_id || ' again' || gap || 'QE9_SCORE: 1.0'
       ELSE '' END AS lines,
-    'TITLE: study of item ' || doc_id || gap || 'AUTHOR: a. writer' || gap || 'YEAR: '
-      || (2000 + doc_id % 25) || gap || 'VISION SYSTEM: camera ' || (doc_id % 3) AS listed
+    'TITLE: ' || {_TITLE} || gap || 'AUTHOR: ' || {_AUTHOR} || gap || 'YEAR: '
+      || {_YEAR} || gap || 'VISION SYSTEM: ' || {_CAMERA} AS listed
   FROM spaced
 ),
 replies AS (

@@ -35,7 +35,7 @@ CONTENT_LIMIT = 2000
 
 
 def _replies(spark: SparkSession, folder: str) -> DataFrame:
-    return samples.replies(samples.document_ids(spark, folder))
+    return samples.replies(samples.described(spark, folder))
 
 
 def _quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Tables derived from the given ones by Spark: replies, pages, attempts, bodies.
 
 ``documents`` holds texts but no model replies, so a reply is derived for every
-document. Its scores follow a formula of the document id, and its shape one of
-twelve classes, from well formed to broken, so that each document's expected
-record can be written in SQL.
+document. Its answers quote the whole text, an eighth each, two of its scores are those of
+``labels``, its fields come from the other columns; the remaining scores follow a formula of the
+document id. Its shape is one of twelve classes, from well formed to broken, so that each
+document's expected record can be written in SQL.
 """
 
 from __future__ import annotations
@@ -53,21 +54,48 @@ def _score(k: int) -> str:
     return f"string(if({h} < 7, {allowed[-1]}D, {choice}))"
 
 
-def _item(qid: str, note: str, shown: str) -> str:
-    return f"'{qid}: note ' || doc_id || ' {note}' || gap || '{qid}{fv.SCORE_SUFFIX}: ' || {shown}"
+def described(spark: SparkSession, folder: str) -> DataFrame:
+    """What replies are made from: the texts and columns of ``documents``, and ``labels`` where there are any."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source", "lang", "n_chars")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(
+        F.max("quality").alias("quality"), F.max("toxic").alias("toxic")
+    )
+    return documents.join(labels, "doc_id", "left")
+
+
+def _item(qid: str, answer: str, shown: str) -> str:
+    return f"'{qid}: ' || {answer} || gap || '{qid}{fv.SCORE_SUFFIX}: ' || {shown}"
+
 
+def _eighth(k: int) -> str:
+    """Part ``k``, counted from 1, of eight that make up the quoted text."""
+    start, end = f"({k - 1} * length(quoted) div 8)", f"({k} * length(quoted) div 8)"
+    return f"substring(quoted, int({start} + 1), int({end} - {start}))"
 
-def replies(ids: DataFrame) -> DataFrame:
-    """``doc_id, file_name, response``, one for each document."""
+
+def replies(documents: DataFrame) -> DataFrame:
+    """``doc_id, file_name, response``, one for each document.
+
+    ``documents`` holds ``doc_id`` and what there is of ``described``; columns that it lacks count as NULL.
+    """
+    for name, kind in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "bigint"),
+                       ("quality", "int"), ("toxic", "int")):
+        if name not in documents.columns:
+            documents = documents.withColumn(name, F.lit(None).cast(kind))
     shown = [_score(k) for k in range(len(ALLOWED_SCORES))]
+    shown[0] = f"if(quality IN (0, 1), string(double(quality)), {shown[0]})"
+    shown[5] = f"if(toxic IN (0, 1), string(double(1 - toxic)), {shown[5]})"
     shown[2] += " || if(doc_id % 12 = 7 OR doc_id % 24 = 11, '.', '')"
-    lines = [_item(f"QE{k}", f"part {k}", cell) for k, cell in enumerate(shown, 1)]
+    lines = [_item(f"QE{k}", _eighth(k), cell) for k, cell in enumerate(shown, 1)]
     items = " || gap || ".join(lines) + f""" || CASE doc_id % 12
-        WHEN 8 THEN gap || {_item("QE2", "again", "'1.0'")}
-        WHEN 9 THEN gap || {_item("QE9", "again", "'1.0'")}
+        WHEN 8 THEN gap || {_item("QE2", "'note ' || doc_id || ' again'", "'1.0'")}
+        WHEN 9 THEN gap || {_item("QE9", "'note ' || doc_id || ' again'", "'1.0'")}
         ELSE '' END"""
-    fields = """concat_ws(gap, 'TITLE: study of item ' || doc_id, 'AUTHOR: a. writer',
-        'YEAR: ' || (2000 + doc_id % 25), 'VISION SYSTEM: camera ' || (doc_id % 3))"""
+    # values are lower case on purpose: capitals at their end would move to the next key
+    fields = """concat_ws(gap, 'TITLE: study of ' || regexp_replace(lower(substring(quoted, 1, 40)), '[^a-z]+', ' '),
+        'AUTHOR: a. ' || regexp_replace(lower(coalesce(source, 'writer')), '[^a-z]+', ' '),
+        'YEAR: ' || (2000 + coalesce(n_chars, doc_id) % 25),
+        'VISION SYSTEM: camera ' || regexp_replace(lower(coalesce(lang, 'none')), '[^a-z]+', ' '))"""
     glued = f"{fv.QA_START} QE1: a QE1_SCORE:+1 QE2: b QE2_SCORE:-1 {fv.QA_END}"
     response = f"""CASE
         WHEN doc_id % 12 = 3 THEN
@@ -82,8 +110,10 @@ def replies(ids: DataFrame) -> DataFrame:
         ELSE concat_ws(
           gap, '{fv.QA_START}', items, '{fv.QA_END}', '{fv.DE_START}', fields, '{fv.DE_END}')
         END"""
+    # an answer must not look like the id of a question or the marker of a section
+    quoted = "replace(replace(coalesce(text, ''), 'QE', 'qe'), '==', '--')"
     return (
-        named(ids).withColumn("gap", F.expr("if(doc_id % 12 = 4, ' ', chr(10))"))
+        named(documents).withColumns({"gap": F.expr("if(doc_id % 12 = 4, ' ', chr(10))"), "quoted": F.expr(quoted)})
         .withColumns({"items": F.expr(items), "fields": F.expr(fields)})
         .select("doc_id", "file_name", F.expr(response).alias("response"))
     )

@@ -104,16 +104,19 @@ def wait_for_input(query: StreamingQuery, seconds: float = 600) -> None:
     """Wait until ``query`` has taken in all attempts that are there.
 
     Timers keep such a query busy, so that ``processAllAvailable`` would wait for
-    ever. A batch that began after this call and found nothing new tells the same.
+    ever. A batch that was planned after this call and found nothing new tells the same; the
+    one that runs now, or is repeated after a restart, was planned before.
     """
     before = query.lastProgress
-    first = before["batchId"] + 1 if before else 0
+    running = before["batchId"] + 1 if before else None
     end = time.monotonic() + seconds
     while time.monotonic() < end:
         if (failed := query.exception()) is not None:
             raise failed
         now = query.lastProgress
-        if now and now["batchId"] > first and now["numInputRows"] == 0:
+        if now and running is None:
+            running = now["batchId"]
+        elif now and now["batchId"] > running and now["numInputRows"] == 0:
             return
         time.sleep(0.2)
     raise TimeoutError(f"attempts are still coming in after {seconds} seconds")
