@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import mix, word_blocks
+from .arrays import mix, text_slices, word_blocks
 from .common import digest, stored
 from .components import components, merged
 
@@ -20,6 +20,8 @@ ROWS = 5
 """At similarity 0.8 a pair misses all 20 bands of 5 once in 2,800 times, at 0.85 once in 37,000."""
 BROADCAST_IDS = 1_000_000
 """Ids that are broadcast to find their texts; with more, both sides are shuffled."""
+SHARES = 16
+"""Tasks that the comparisons with one hub are spread over."""
 
 _U = np.uint64
 
@@ -132,29 +134,46 @@ def weighted_shingles(text: str, weighted: bool = False) -> tuple[np.ndarray, np
     return distinct, counts if weighted else np.ones(len(counts), np.int64)
 
 
-def similarity(a: str, b: str, weighted: bool = False) -> float:
-    """Jaccard similarity of the shingles of two whole texts; weighted: each as often as it occurs."""
-    (x, n), (y, m) = (weighted_shingles(t, weighted) for t in (a, b))
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Jaccard similarity of two results of ``weighted_shingles``."""
+    (x, n), (y, m) = a, b
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     common, total = np.minimum(n[i], m[j]).sum(), n.sum() + m.sum()
     return float(common / (total - common)) if total else 0.0
 
 
+def similarity(a: str, b: str, weighted: bool = False) -> float:
+    """Jaccard similarity of the shingles of two whole texts; weighted: each as often as it occurs."""
+    return overlap(weighted_shingles(a, weighted), weighted_shingles(b, weighted))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, weighted: bool) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) of digests whose texts are similar; hot texts are joined first, cold last."""
+    """The ``pairs`` (``a`` and its hub ``b``) of digests whose texts are similar; stored.
+
+    A hub's text goes once to each of its ``SHARES``, before the texts that are compared with it, and is cut into shingles
+    once there.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, shingled = None, None
         for batch in batches:
-            near = [
-                similarity(x, y, weighted) >= least
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+            near: list[tuple[str, str]] = []
+            for i in range(batch.num_rows):
+                a, b, text = (batch.column(c)[i].as_py() for c in range(3))
+                if a is None:
+                    hub, shingled = b, weighted_shingles(text, weighted)
+                elif b == hub and overlap(weighted_shingles(text, weighted), shingled) >= least:
+                    near.append((a, b))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[k] for p in near], pa.string()) for k in (0, 1)], ["a", "b"]
+            )
 
-    left = texts.select(F.col("text_digest").alias("b"), F.col("text").alias("y"))
-    right = texts.select(F.col("text_digest").alias("a"), F.col("text").alias("x"))
-    both = pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(check, "a string, b string"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SHARES)).cast("int").alias("share"))
+    members = dealt.join(texts.select(F.col("text_digest").alias("a"), "text"), "a")
+    hubs = dealt.select("b", "share").distinct().join(texts.select(F.col("text_digest").alias("b"), "text"), "b")
+    both = members.unionByName(hubs.withColumn("a", F.lit(None).cast("string")))
+    ordered = both.repartition("b", "share").sortWithinPartitions("b", "share", F.col("a").asc_nulls_first())
+    return stored(ordered.select("a", "b", "text").mapInArrow(check, "a string, b string"))
 
 
 def _texts_of(documents: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -173,7 +192,8 @@ def _shingle_rows(texts: DataFrame, weighted: bool) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                name, text = (c[i].as_py() for c in batch.columns)
                 keys, weights = weighted_shingles(text, weighted)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(weights)],
@@ -185,46 +205,86 @@ def _shingle_rows(texts: DataFrame, weighted: bool) -> DataFrame:
     )
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
+def _mixed(placed: DataFrame, bucket: str) -> DataFrame:
     """Rows of buckets that hold more than one component."""
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return placed.join(mixed.where("low < high").select("band"), "band")
+    mixed = placed.groupBy(bucket).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return placed.join(mixed.where("low < high").select(bucket), bucket)
 
 
-def _still_apart(placed: DataFrame, texts: DataFrame, least: float, weighted: bool) -> DataFrame:
-    """Pairs (``a``, ``b``) of different components, from mixed buckets, that can be similar at all.
+def _rarest(placed: DataFrame, texts: DataFrame, least: float, weighted: bool) -> DataFrame:
+    """``shingle``, ``text_digest``, ``size``, ``before``: by which texts of mixed buckets can be similar at all; stored.
 
     Similar texts have ``least / (1 + least)`` of their joint weight in common.
     So of all shingles of a text, rarest first, one must be shared among the
     first few: those that outweigh what it may lack of the smallest text in its
-    buckets. Texts that have only a widespread passage in common share none.
+    buckets. Texts that have only a widespread passage in common share none. ``before`` is the weight of the
+    shingles that come first; those of one text alone lead, and are only added up.
     """
-    apart = stored(_mixed(placed))
-    named = apart.select("text_digest", "component").distinct()
-    rows = _shingle_rows(texts.join(named, "text_digest", "left_semi"), weighted)
-    measured = stored(named.join(rows.groupBy("text_digest").agg(F.sum("weight").alias("size")), "text_digest"))
-    inside = apart.select("band", "text_digest").join(measured, "text_digest")
+    apart = stored(_mixed(placed, "band").select("band", "text_digest"))
+    rows = _shingle_rows(texts.join(apart.select("text_digest").distinct(), "text_digest", "left_semi"), weighted)
+    measured = stored(rows.groupBy("text_digest").agg(F.sum("weight").alias("size")))
+    inside = apart.join(measured, "text_digest")
     smallest = inside.groupBy("band").agg(F.min("size").alias("smallest"))
     partner = inside.join(smallest, "band").groupBy("text_digest").agg(F.min("smallest").alias("smallest"))
     lack = F.col("size") - (F.col("size") + F.col("smallest")) * (least / (1 + least)) + 1e-6
 
-    texts_with = rows.groupBy("shingle").agg(F.count("*").alias("texts"))
-    rare_first = Window.partitionBy("text_digest").orderBy("texts", "shingle")
-    before = F.sum("weight").over(rare_first) - F.col("weight")
-    first = (
-        rows.join(texts_with, "shingle").withColumn("before", before)
+    texts_with = rows.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1")
+    whole = Window.partitionBy("text_digest")
+    rare_first = whole.orderBy("texts", "shingle")
+    shared = F.sum("weight").over(rare_first) - F.col("weight") - F.sum("weight").over(whole)
+    return stored(
+        rows.join(texts_with, "shingle").withColumn("shared", shared)
         .join(measured.join(partner, "text_digest"), "text_digest")
-        .where((F.col("before") <= lack) & (F.col("texts") > 1))
-        .select("shingle", "text_digest", "component", "size")
+        .withColumn("before", F.col("size") + F.col("shared"))
+        .where(F.col("before") <= lack)
+        .select("shingle", "text_digest", "size", "before")
     )
-    first = stored(first)
-    meeting = first.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    first = first.join(meeting.where("low < high").select("shingle"), "shingle")
-    other = first.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("text_digest", "component", "size")))
-    return first.join(other, "shingle").where(
-        (F.col("component") < F.col("other_component"))
-        & (F.least("size", "other_size") >= F.greatest("size", "other_size") * least - 1e-6)
-    ).select(F.col("text_digest").alias("a"), F.col("other_text_digest").alias("b")).distinct()
+
+
+def _with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the ``component`` of their ``text_digest``; a text that is in none is its own."""
+    there = rows.join(found.withColumnRenamed("node", "text_digest"), "text_digest", "left")
+    return there.withColumn("component", F.coalesce("component", "text_digest"))
+
+
+def _rejoined(
+    found: DataFrame, rarest: DataFrame, done: DataFrame, texts: DataFrame, least: float, weighted: bool
+) -> DataFrame:
+    """The components ``found``, joined further by what texts share of their rarest shingles.
+
+    In each round every text is compared with the hubs of its shingles that are in
+    another component, if the weights allow it; hubs are the most popular
+    texts. They have then met all others and leave, and so do shingles that are left with one component.
+    Their number doubles each round, so a few rounds compare all that must be compared; a group of
+    many similar texts falls to its first hubs, at about one comparison each.
+    """
+    most = F.col("size") - F.col("before"), F.col("hub_size") - F.col("hub_before")
+    needed = (F.col("size") + F.col("hub_size")) * (least / (1 + least)) - 1e-6
+    met = rarest.groupBy("shingle").agg(F.count("*").alias("n"))
+    popular = rarest.join(met, "shingle").groupBy("text_digest").agg(F.sum("n").alias("popularity"))
+    rows, hubs = rarest.join(popular, "text_digest"), 1
+    while True:
+        rows = stored(_mixed(_with_components(rows, found), "shingle"))
+        if rows.isEmpty():
+            return found
+        by_fame = Window.partitionBy("shingle").orderBy(F.desc("popularity"), "text_digest")
+        chosen = stored(rows.withColumn("place", F.row_number().over(by_fame)).where(F.col("place") <= hubs))
+        hub = chosen.select(
+            "shingle", F.col("text_digest").alias("hub"), F.col("component").alias("hub_component"),
+            F.col("size").alias("hub_size"), F.col("before").alias("hub_before"), "place",
+        )
+        meeting = rows.join(hub, "shingle").where(
+            (F.col("component") != F.col("hub_component")) & (F.least(*most) >= needed)
+        )
+        # two hubs meet once
+        low, high = F.least("text_digest", "hub").alias("low"), F.greatest("text_digest", "hub").alias("high")
+        new = meeting.groupBy(low, high).agg(F.max("hub").alias("b")).join(done, ["low", "high"], "left_anti")
+        new = stored(new.withColumn("a", F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low"))))
+        if not new.isEmpty():
+            found = stored(merged(found, _verified(new.select("a", "b"), texts, least, weighted)))
+            done = stored(done.unionAll(new.select("low", "high")))
+        rows = rows.join(chosen.select("shingle", "text_digest"), ["shingle", "text_digest"], "left_anti").drop("component")
+        hubs *= 2
 
 
 def near_duplicates(
@@ -242,18 +302,22 @@ def near_duplicates(
     Each band bucket links its members to one hub first: the member that meets
     most texts over all its buckets, so the original rather than one of its
     altered copies. What is still apart within a bucket after that is compared
-    across components, if the rarest shingles of two texts allow it. So every
+    with further hubs, if the rarest shingles of two texts allow it. So every
     pair that shares a bucket is compared, or cannot be similar, or is in one
     class already; a group of many similar texts costs about one comparison each.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = text_bands(batch.column(1).to_pylist(), weighted)
-            rows = [None if k is None else k.tolist() for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["text_digest", "bands"]
-            )
+            first = 0
+            for texts in text_slices(batch.column(1)):
+                keys = text_bands(texts, weighted)
+                rows = [None if k is None else k.tolist() for k in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(texts)), pa.array(rows, pa.list_(pa.int64()))],
+                    ["text_digest", "bands"],
+                )
+                first += len(texts)
 
     ids = documents.select("doc_id", digest(F.col("text")).alias("text_digest"))
     marks = (
@@ -276,18 +340,9 @@ def near_duplicates(
     links = _verified(pairs, texts, least, weighted)
     found = stored(components(links))
 
-    placed = members.join(found, members["text_digest"] == found["node"], "left").select(
-        "band", "text_digest", F.coalesce("component", "text_digest").alias("component")
-    )
-    rest = (
-        _still_apart(placed, texts, least, weighted)
-        .join(pairs, ["a", "b"], "left_anti")
-        .join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    )
-    rest = stored(rest)
-    if rest.limit(1).count():
-        more = _verified(rest, texts, least, weighted)
-        found = stored(merged(found, more))
+    rarest = _rarest(_with_components(members.select("band", "text_digest"), found), texts, least, weighted)
+    done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
+    found = _rejoined(found, rarest, done, texts, least, weighted)
     return ids.join(found, ids["text_digest"] == found["node"], "left").select(
         "doc_id", "text_digest", F.coalesce("component", "text_digest").alias("class_digest")
     )

@@ -62,7 +62,7 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """``class_id`` is the least ``doc_id`` of the class, ``class_documents`` its size."""
-    classes = stored(neardup.near_duplicates(table(spark, folder, "documents")))
+    classes = stored(neardup.near_duplicates(table(spark, folder, "documents"), weighted=True))
     least = classes.where("class_digest IS NOT NULL").groupBy("class_digest").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("n")
     )
