@@ -147,17 +147,17 @@ def _first_scores(marks: Column) -> Column:
 def _next_others(marks: Column) -> Column:
     """For each mark, the place of the first later mention of another id than the one mentioned there."""
     def state(qid: Column, at: Column, other: Column) -> Column:
-        return F.struct(qid.alias("qid"), at.cast("int").alias("at"), other.cast("int").alias("other"))
+        return F.struct(qid.alias("qid"), at.cast("int").alias("at"), other.cast("int").alias("beyond"))
 
     def other(seen: Column, m: Column) -> Column:
-        return F.when(m["qid"] == seen["qid"], seen["other"]).otherwise(seen["at"])
+        return F.when(m["qid"] == seen["qid"], seen["beyond"]).otherwise(seen["at"])
 
     backwards = scan(
         F.reverse(marks),
         state(F.lit(""), F.lit(None), F.lit(None)),
         lambda seen, m: F.when(m["scores"], seen).otherwise(state(m["qid"], m["at"], other(seen, m))),
-        lambda seen, m: F.struct(other(seen, m).alias("other")),
-        "struct<other:int>",
+        lambda seen, m: F.struct(other(seen, m).alias("beyond")),
+        "struct<beyond:int>",
     )
     return F.reverse(backwards)
 
@@ -177,7 +177,7 @@ def positional_items(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
             # without a blank a score runs into the next mark, so that it is no number
             ends = F.contains(behind, F.lit(" ")) | (pair["end"] + 2 == F.size(found["gaps"]))
             score = number(F.when(ends, F.substring_index(behind, " ", 1)))
-            stop = F.least(pair["end"], F.get(found["others"], pair["start"])["other"])
+            stop = F.least(pair["end"], F.get(found["beyond"], pair["start"])["beyond"])
             descr = F.when(score.isNotNull(), _between(found, pair["start"], stop))
             return F.struct(pair["qid"].alias("qid"), _item(pair["qid"], descr, score).alias("item"))
 
@@ -207,7 +207,7 @@ def positional_items(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
     with_others = bound(
         _marks(text, id_pattern, ""),
         lambda found: F.struct(
-            found["marks"].alias("marks"), found["gaps"].alias("gaps"), _next_others(found["marks"]).alias("others")
+            found["marks"].alias("marks"), found["gaps"].alias("gaps"), _next_others(found["marks"]).alias("beyond")
         ),
     )
     return bound(with_others, mentioned)
