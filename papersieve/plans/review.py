@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from papersieve import fixed_values as fv
 from papersieve.functions.text import preview
 from papersieve.operators.inference import attach_responses, without_text
-from papersieve.operators.parsing import parse_extraction, parse_quality
+from papersieve.operators.parsing import computed_once, parse_extraction, parse_quality
 from papersieve.operators.reports import (
     artifacts,
     extraction_report,
@@ -93,7 +93,8 @@ def scan_documents(documents: DataFrame, earlier: DataFrame | None = None) -> Da
     if pending.count() <= BROADCAST_IDS:
         # a document without an id was never decided
         return scanned.join(F.broadcast(pending), scanned["doc_id"].eqNullSafe(pending["doc_id"]), "left_semi")
-    return pending_documents(scanned, earlier)
+    # fixed first, or the join would be moved below and take the texts along
+    return pending_documents(computed_once(scanned, "has_text", "preview"), earlier)
 
 
 def write_run(
