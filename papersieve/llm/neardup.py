@@ -20,6 +20,8 @@ ROWS = 5
 """At similarity 0.8 a pair misses all 20 bands of 5 once in 2,800 times, at 0.85 once in 37,000."""
 BROADCAST_IDS = 1_000_000
 """Ids that are broadcast to find their texts; with more, both sides are shuffled."""
+MORE_HUBS = 8
+"""By this factor more hubs are met in each further round."""
 SHARES = 16
 """Tasks that the comparisons with one hub are spread over."""
 
@@ -255,7 +257,7 @@ def _rejoined(
     In each round every text is compared with the hubs of its shingles that are in
     another component, if the weights allow it; hubs are the most popular
     texts. They have then met all others and leave, and so do shingles that are left with one component.
-    Their number doubles each round, so a few rounds compare all that must be compared; a group of
+    Their number grows by ``MORE_HUBS`` each round, so a few rounds compare all that must be compared; a group of
     many similar texts falls to its first hubs, at about one comparison each.
     """
     most = F.col("size") - F.col("before"), F.col("hub_size") - F.col("hub_before")
@@ -281,10 +283,12 @@ def _rejoined(
         new = meeting.groupBy(low, high).agg(F.max("hub").alias("b")).join(done, ["low", "high"], "left_anti")
         new = stored(new.withColumn("a", F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low"))))
         if not new.isEmpty():
-            found = stored(merged(found, _verified(new.select("a", "b"), texts, least, weighted)))
-            done = stored(done.unionAll(new.select("low", "high")))
+            links = _verified(new.select("a", "b"), texts, least, weighted)
+            if not links.isEmpty():
+                found = stored(merged(found, links))
+            done = done.unionAll(new.select("low", "high"))
         rows = rows.join(chosen.select("shingle", "text_digest"), ["shingle", "text_digest"], "left_anti").drop("component")
-        hubs *= 2
+        hubs *= MORE_HUBS
 
 
 def near_duplicates(
