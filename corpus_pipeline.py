@@ -18,7 +18,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that of the least ``doc_id``."""
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, weighted=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A trained model, components and token ids are beyond SQL; tests/llm compares with brute force.
+#: A trained model, components and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
