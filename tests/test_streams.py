@@ -85,6 +85,56 @@ def test_a_retry_falls_due_after_its_backoff(spark, tmp_path):
     assert found == [(1, "ok", 2), (2, "ok", 1), (3, "fatal", 1), (4, "exhausted", 3)]
 
 
+def test_documents_share_states_and_keep_their_own_timers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("papersieve.streaming.attempts.GROUPS", 2)
+    ids = [None, 2**60 + 1, 2**60 + 2, *range(40)]
+    good = '{"choices":[]}'
+
+    def arrive(*made):
+        spark.createDataFrame(made, ATTEMPT_TYPE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    arrive(*[(i, 1, 503, None, None) for i in ids])
+    stream = spark.readStream.schema(ATTEMPT_TYPE).parquet(f"{tmp_path}/in")
+    running = start_attempts(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", retry_backoff=0.5, every="200 milliseconds")
+    try:
+        wait_for_input(running, 100)
+        arrive(*[(i, 3, 200, None, good) for i in ids[:3]], (ids[1], 2, 200, None, good), (5, 2, 503, None, None))
+        due, end = [], time.monotonic() + 60
+        wanted = sorted([(i, 1 + (i == 5)) for i in ids[3:]], key=repr)
+        while (due := rows(read_due_retries(spark, f"{tmp_path}/out"))) != wanted and time.monotonic() < end:
+            time.sleep(0.5)
+        assert due == wanted
+        assert 1 <= running.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+    finally:
+        running.stop()
+    found = rows(read_outcomes(spark, f"{tmp_path}/out").where("outcome = 'ok'").select("doc_id", "n_attempts", "body"))
+    assert found == rows(spark.createDataFrame([(None, 3, good), (ids[1], 2, good), (ids[2], 3, good)], "a long, b int, c string"))
+
+
+def test_waiting_goes_on_while_batches_end():
+    class Query:
+        """Takes in two batches, each of them longer than half the patience, then finds nothing new."""
+
+        def __init__(self):
+            self.began = time.monotonic()
+
+        def exception(self):
+            return None
+
+        @property
+        def lastProgress(self):
+            ended = int((time.monotonic() - self.began) / 0.8)
+            return {"batchId": ended, "numInputRows": 5 if ended < 3 else 0} if ended else None
+
+    wait_for_input(Query(), 1.5)
+
+    class Stuck(Query):
+        lastProgress = {"batchId": 1, "numInputRows": 5}
+
+    with pytest.raises(TimeoutError):
+        wait_for_input(Stuck(), 0.5)
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     spark.dataSource.register(DocumentFiles)
