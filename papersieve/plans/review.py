@@ -97,6 +97,23 @@ def scan_documents(documents: DataFrame, earlier: DataFrame | None = None) -> Da
     return pending_documents(computed_once(scanned, "has_text", "preview"), earlier)
 
 
+def wanted_replies(responses: DataFrame, todo: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """``responses`` without those that no document of ``todo`` can take, if few ids tell so.
+
+    Replies are shuffled to meet their documents, so what is known to be left out goes
+    before. The ids of ``todo`` are broadcast, or those that ``earlier`` has decided; beyond
+    ``BROADCAST_IDS`` of both all replies are kept.
+    """
+    asked = todo.where("has_text").select("doc_id").distinct()
+    if asked.count() <= BROADCAST_IDS:
+        return responses.join(F.broadcast(asked), "doc_id", "left_semi")
+    if earlier is not None:
+        decided = earlier.where(F.col("status").isin(*fv.DECIDED)).select("doc_id").distinct()
+        if decided.count() <= BROADCAST_IDS:
+            return responses.join(F.broadcast(decided), "doc_id", "left_anti")
+    return responses
+
+
 def write_run(
     documents: DataFrame,
     responses: DataFrame,
@@ -115,7 +132,8 @@ def write_run(
     Documents are scanned once, into a table of ids and openings. The decisions are written
     next, and the reports read them from there: replies are parsed once, a
     lost executor costs only its own tasks, and a report reads only the
-    statuses it shows. The headers of the reports are a table as well. With a ``backend``, its address and model, the log opens with a
+    statuses it shows. Decisions hold each text twice, so they are written by the tasks that made
+    them, a file for each status, and not shuffled again. The headers of the reports are a table as well. With a ``backend``, its address and model, the log opens with a
     heading.
     """
     spark, run_id = documents.sparkSession, new_run_id()
@@ -128,9 +146,10 @@ def write_run(
         source: str = source,
         options: dict[str, str] = options or {},
     ) -> None:
-        if partitions:  # else each task would leave a small file in each partition
-            table = table.hint("rebalance", *partitions)
-        writer = table.withColumn("run_ts", F.lit(run_ts)).write.format(source).options(**options)
+        writer = table.withColumn("run_ts", F.lit(run_ts)).write.format(source)
+        if source == "parquet":  # texts are in most tables, and take a third less than by Spark's default
+            writer = writer.option("compression", "zstd")
+        writer = writer.options(**options)
         writer.mode("errorifexists").partitionBy("run_ts", *partitions).save(f"{path}/{RUN_ID}={run_id}")
 
     scanned = scan_documents(documents, earlier)
@@ -138,7 +157,8 @@ def write_run(
     known = _read_back(spark, scanned_path(folder), scanned.schema, run_id)
     todo = known.select("doc_id", "file_name", "has_text")
 
-    decided = review_replies(attach_responses(todo, responses), schema, id_pattern, strict_keys)
+    wanted = wanted_replies(responses, todo, earlier)
+    decided = review_replies(attach_responses(todo, wanted), schema, id_pattern, strict_keys)
     write(decided, paths.decisions, "status", source="parquet", options={})
     decisions = _read_back(spark, paths.decisions, decided.schema, run_id)
 
@@ -150,7 +170,8 @@ def write_run(
     write(log, paths.response_log)
     previews = known.where("preview IS NOT NULL").select("doc_id", "file_name", "preview")
     write(artifacts(previews, decisions, schema.prompt()), paths.artifacts)
-    write(manifest(decisions), paths.manifest, "status")
+    # few bytes a document, so a task would leave a small file for each status
+    write(manifest(decisions).hint("rebalance", "status"), paths.manifest, "status")
     headers = {"qa_report": schema.qa_header(), "de_report": schema.de_header()}
     write_headers(spark, folder, run_id, headers)
     clear(spark, f"{scanned_path(folder)}/{RUN_ID}={run_id}")

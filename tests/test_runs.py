@@ -1,5 +1,6 @@
 """Runs count as a whole or not at all, and read the texts once."""
 
+import glob
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,6 +160,32 @@ def test_openings_are_not_shuffled_beside_few_ids(spark, inputs, tmp_path, monke
     assert any("Project" in part and "substring(text#" in part for part in shuffled(plan)) == (bound == 0)
 
 
+def test_only_wanted_replies_are_shuffled(spark, inputs, monkeypatch):
+    todo = spark.createDataFrame([(1, True), (2, False), (4, True), (4, True), (None, True)], "doc_id bigint, has_text boolean")
+    earlier = spark.createDataFrame([(1, "NO_RESPONSE"), (3, "ANALYSED")], "doc_id bigint, status string")
+    replies = spark.createDataFrame([(n, f"reply {n}") for n in (1, 1, 2, 3, 4, 5)], "doc_id bigint, response string")
+
+    def kept(*given):
+        return sorted(r.doc_id for r in plans.wanted_replies(replies, todo, *given).collect())
+
+    assert kept() == kept(earlier) == [1, 1, 4]
+    monkeypatch.setattr(plans, "BROADCAST_IDS", 1)
+    assert kept() == [1, 1, 2, 3, 4, 5] and kept(earlier) == [1, 1, 2, 4, 5]
+    monkeypatch.setattr(plans, "BROADCAST_IDS", 0)
+    assert kept(earlier) == [1, 1, 2, 3, 4, 5]
+
+
+def test_texts_are_written_small_and_decisions_not_shuffled_again(spark, schema, inputs, tmp_path):
+    out = tmp_path / "out"
+    paths = run_review(*inputs, schema, str(out), FIRST)
+    files = [f for path in paths for f in glob.glob(f"{path}/**/*.parquet", recursive=True)]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+    one = len(glob.glob(f"{paths.manifest}/**/status=ANALYSED/*.parquet", recursive=True))
+    assert one == 1
+    run_review(*inputs, schema, str(out), SECOND, options={"compression": "gzip"})
+    assert all(f.endswith(".gz.parquet") for f in glob.glob(f"{paths.qa_report}/**/*.parquet", recursive=True))
+
+
 @pytest.mark.parametrize("source, options", [
     ("parquet", {}), ("csv", {"header": "true", "multiLine": "true", "escape": '"', "nullValue": "-"}),
 ])
