@@ -27,13 +27,15 @@ def review_many(
 ) -> DataFrame:
     """Decisions for rows of ``review_id, doc_id, file_name, has_text, response``, each by its own review.
 
-    Replies are parsed first, which no questionnaire is needed for, and meet their
-    questionnaire in one join; a review with most of the replies is
+    Replies meet their questionnaire in one join and are parsed behind it, so that what
+    has been read from a reply is never shuffled along with it; a review with most of the replies is
     left to Spark's skew handling, which may split it. A reply to an unknown review is
     never decided: its status is NULL. The columns are those of ``review``, and ``cutoff``.
     """
-    parsed = parse_extraction(parse_quality(replies, id_pattern=id_pattern))
-    asked = parsed.join(_questionnaires(reviews, excluding).withColumn("_known", F.lit(True)), "review_id", "left")
+    known = _questionnaires(reviews, excluding).withColumn("_known", F.lit(True))
+    parsed = parse_extraction(parse_quality(replies.join(known, "review_id", "left"), id_pattern=id_pattern))
+    last = ("cutoff", "excluding", "_known")
+    asked = parsed.select(*[c for c in parsed.columns if c not in last], *last)
     decided = decided_by(
         asked,
         lambda items, ids: excluded_by_any(items, ids, F.col("excluding")),

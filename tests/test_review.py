@@ -203,6 +203,19 @@ def test_review_reads_and_shuffles_only_what_it_needs(spark, schema, tmp_path):
     assert re.search(r"Project \[doc_id#\S+ file_name#\S+ coalesce\(.*\) AS has_text#\d+\]$", lines[at + 1])
 
 
+def test_parsed_replies_of_many_reviews_are_not_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, executed = plan_of(QUERIES["many_reviews"](spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = executed.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+    parsing_at = [n for n, line in enumerate(lines) if "regexp_extract_all" in line]
+    moved = [n for n, line in enumerate(lines) if "Exchange hashpartitioning(review_id" in line]
+    assert parsing_at and moved and max(parsing_at) < min(moved) and depth[max(parsing_at)] < depth[min(moved)]
+
+
 def test_every_query_has_sql():
     from catalogue.oracles import ORACLES
 
