@@ -63,6 +63,7 @@ def scan(
 
     def scanned(elements: Column) -> Column:
         found = bound(_chunks(elements), lambda c: F.flatten(F.zip_with(states(c), c, outputs)))
-        return F.when(F.size(elements) > 0, found).when(F.size(elements) == 0, nothing)
+        # the state before a single chunk is known
+        return F.when(F.size(elements) > CHUNK, found).when(F.size(elements) >= 0, outputs(start, elements))
 
     return bound(array, scanned)

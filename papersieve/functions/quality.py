@@ -34,15 +34,20 @@ def _scored(items: Column) -> Column:
     return F.filter(items, lambda item: item["score"].isNotNull())
 
 
-def _marks(text: Column, id_pattern: str, score: str) -> Column:
-    """``STRUCT<marks, gaps>``: ids in order, as ``STRUCT<qid, at, scores, shown>``, and the texts around them.
+def _tokens(text: Column, id_pattern: str, score: str) -> Column:
+    """``STRUCT<tokens, gaps>``: the marks of a text as they stand there, and the texts around them.
 
     A mark is an id with a colon, or with the suffix of its score and what ``score``
     matches behind it. One pass finds the marks, another what lies between, so
     the text is never searched again from an id. ``gaps`` has one element more.
     """
     pattern = rf"(?:{id_pattern})(?::|{fv.SCORE_SUFFIX}:{score})"
+    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.struct(tokens.alias("tokens"), F.split(text, pattern, -1).alias("gaps"))
+
 
+def _marks(found: Column) -> Column:
+    """``STRUCT<marks, gaps>`` of tokens: ids in order, as ``STRUCT<qid, at, scores, shown>``, and the texts around them."""
     def mark(token: Column, at: Column) -> Column:
         # neither an id nor a score holds a colon
         qid = F.substring_index(token, ":", 1)
@@ -52,8 +57,7 @@ def _marks(text: Column, id_pattern: str, score: str) -> Column:
             at.alias("at"), scores.alias("scores"), token.alias("shown"),
         )
 
-    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.struct(F.transform(tokens, mark).alias("marks"), F.split(text, pattern, -1).alias("gaps"))
+    return F.struct(F.transform(found["tokens"], mark).alias("marks"), found["gaps"].alias("gaps"))
 
 
 def _between(found: Column, first: Column, last: Column) -> Column:
@@ -91,12 +95,32 @@ def _own_scores(marks: Column) -> Column:
     return F.sort_array(pairs)
 
 
+def _pairs(tokens: Column) -> Column:
+    """Numbers of the pairs of tokens, from 0."""
+    return F.sequence(F.lit(0), F.shiftright(F.size(tokens), 1) - 1)
+
+
+def _id_of_pair(tokens: Column, at: Column) -> Column:
+    return F.substring_index(F.get(tokens, at * 2), ":", 1)
+
+
+def _in_turn(tokens: Column) -> Column:
+    """Whether each id is followed by its own score at once, and nothing else is there; false without marks."""
+    def own(at: Column) -> Column:
+        qid = _id_of_pair(tokens, at)
+        score = F.concat(qid, F.lit(f"{fv.SCORE_SUFFIX}:"))
+        return ~F.contains(qid, F.lit(fv.SCORE_SUFFIX)) & F.startswith(F.get(tokens, at * 2 + 1), score)
+
+    return (F.size(tokens) >= 2) & (F.size(tokens) % 2 == 0) & F.forall(_pairs(tokens), own)
+
+
 def marked_matches(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
     """Spans from an id to the nearest score that carries the same id: ``STRUCT<qid, descr, shown>``.
 
     A span opens with the first id that has a score of its own behind it, and the
     next one opens behind that score. Linear but for sorting the marks, whatever
-    ids lack a score. ``id_pattern`` must hold no capturing group and match no
+    ids lack a score; where ids and their scores take turns, as they should, each pair is a span
+    and nothing is sorted. ``id_pattern`` must hold no capturing group and match no
     colon, and no id may overlap another.
     """
     def spans(found: Column) -> Column:
@@ -116,7 +140,20 @@ def marked_matches(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
             ),
         )
 
-    return bound(_marks(text, id_pattern, rf"{fv.SPACE}*+[0-9.]++"), spans)
+    def in_turn(found: Column) -> Column:
+        return F.transform(
+            _pairs(found["tokens"]),
+            lambda at: F.struct(
+                _id_of_pair(found["tokens"], at).alias("qid"),
+                F.get(found["gaps"], at * 2 + 1).alias("descr"),
+                F.substring_index(F.get(found["tokens"], at * 2 + 1), ":", -1).alias("shown"),
+            ),
+        )
+
+    return bound(
+        _tokens(text, id_pattern, rf"{fv.SPACE}*+[0-9.]++"),
+        lambda found: F.when(_in_turn(found["tokens"]), in_turn(found)).otherwise(bound(_marks(found), spans)),
+    )
 
 
 def marked_items(matches: Column) -> Column:
@@ -205,7 +242,7 @@ def positional_items(text: Column, id_pattern: str = fv.QUESTION_ID) -> Column:
         return F.transform(F.sort_array(items), lambda e: e["item"])
 
     with_others = bound(
-        _marks(text, id_pattern, ""),
+        bound(_tokens(text, id_pattern, ""), _marks),
         lambda found: F.struct(
             found["marks"].alias("marks"), found["gaps"].alias("gaps"), _next_others(found["marks"]).alias("beyond")
         ),

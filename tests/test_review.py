@@ -1,6 +1,7 @@
 """The whole review: written tables, repeated runs, streams, plans."""
 
 import os
+import random
 import re
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 from catalogue import samples
 from catalogue.queries import QUERIES, RUN_TS
 from papersieve import fixed_values as fv
+from papersieve.functions import quality
 from papersieve.operators import parsing, reports
 from papersieve.operators.triage import excluded_by_join
 from papersieve.plans.review import report_paths, review, review_replies, run_review
@@ -216,6 +218,24 @@ def test_parsed_replies_of_many_reviews_are_not_shuffled(spark):
     assert parsing_at and moved and max(parsing_at) < min(moved) and depth[max(parsing_at)] < depth[min(moved)]
 
 
+def test_ids_and_scores_in_turn_are_read_as_all_others(spark, monkeypatch):
+    rng = random.Random(3)
+    pieces = ["QE1: a ", "QE1_SCORE: 1 ", "QE2: \n", "QE2_SCORE:0.5", "QE12: x ", "QE12_SCORE: 2. ", "QE1: b QE1_SCORE: 0 ", "QE2: QE2_SCORE: 2"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(7))) for _ in range(400)]
+    texts += ["".join(pieces), "".join(pieces * 2) + " end", "", None]
+    table = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n long, text string")
+
+    def spans():
+        return [r.spans for r in table.select("n", quality.marked_matches(F.col("text")).alias("spans")).sort("n").collect()]
+
+    tokens = quality._tokens(F.col("text"), fv.QUESTION_ID, rf"{fv.SPACE}*+[0-9.]++")["tokens"]
+    turns = [r[1] for r in table.select("n", quality._in_turn(tokens)).sort("n").collect()]
+    assert turns[-4:-1] == [True, True, False] and 20 < sum(map(bool, turns)) < 200
+    found = spans()
+    monkeypatch.setattr(quality, "_in_turn", lambda tokens: F.lit(False))
+    assert found == spans()
+
+
 def test_every_query_has_sql():
     from catalogue.oracles import ORACLES
 
