@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersieve import fixed_values as fv
+from papersieve.functions.arrays import bound
 from papersieve.functions.text import file_stem, last_with_key
 from papersieve.operators.parsing import computed_once
 from papersieve.schema import ReviewSchema
@@ -34,12 +35,18 @@ def excluded_by(newest_items: Column, ids: Column, excluding: tuple[str, ...]) -
 
 
 def excluded_by_any(newest_items: Column, ids: Column, excluding: Column) -> Column:
-    """``excluded_by`` where the excluding questions are a column, an array of ids in their order."""
-    def hit(qid: Column) -> Column:
-        place = F.array_position(ids, qid)
-        return F.coalesce((place > 0) & (F.get(newest_items, (place - 1).cast("int"))["score"] == 0), F.lit(False))
+    """``excluded_by`` where the excluding questions are a column, an array of ids in their order.
 
-    return F.get(F.filter(excluding, hit), F.lit(0))
+    Items and ids are fixed first, or they would be made again for each excluding question.
+    """
+    def first(newest: Column) -> Column:
+        def hit(qid: Column) -> Column:
+            place = (F.array_position(newest["ids"], qid) - 1).cast("int")
+            return F.coalesce(F.get(newest["items"], place)["score"] == 0, F.lit(False))
+
+        return F.get(F.filter(excluding, hit), F.lit(0))
+
+    return bound(F.struct(newest_items.alias("items"), ids.alias("ids")), first)
 
 
 def excluded_by_join(quality_items: DataFrame, excluding: DataFrame, key: str) -> DataFrame:

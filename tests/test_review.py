@@ -13,7 +13,7 @@ from catalogue.queries import QUERIES, RUN_TS
 from papersieve import fixed_values as fv
 from papersieve.functions import quality
 from papersieve.operators import parsing, reports
-from papersieve.operators.triage import excluded_by_join
+from papersieve.operators.triage import excluded_by_any, excluded_by_join
 from papersieve.plans.review import report_paths, review, review_replies, run_review
 from papersieve.sources.reports import read_manifest, read_report
 from papersieve.streaming.review import start_review
@@ -218,6 +218,20 @@ def test_parsed_replies_of_many_reviews_are_not_shuffled(spark):
     assert parsing_at and moved and max(parsing_at) < min(moved) and depth[max(parsing_at)] < depth[min(moved)]
 
 
+def test_many_excluding_questions_look_up_one_array(spark):
+    items = "array<struct<qid:string,descr:string,score:double>>"
+    newest = [("QE2", "b", 0.0), ("QE1", "a", 1.0), ("QE2", "older", 1.0), ("QE1", "older", 0.0), ("QE3", "c", None), (None, "d", 0.0)]
+    cases = [
+        (newest, ["QE9", "QE1", "QE3", "QE2", "QE2"], "QE2"), (newest, ["QE1"], None), (newest, [None, "QE3"], None),
+        (newest, [], None), (newest, None, None), ([], ["QE1"], None), (None, ["QE1"], None),
+    ]
+    table = spark.createDataFrame([(n, *case) for n, case in enumerate(cases)], f"n int, items {items}, excluding array<string>, wanted string")
+    found = excluded_by_any(F.col("items"), F.col("items.qid"), F.col("excluding"))
+    assert [r.found for r in table.select("n", found.alias("found")).sort("n").collect()] == [case[2] for case in cases]
+    plan = table.select(found.alias("found"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position(") == 1 and plan.count("items#") - plan.count("items#", plan.rfind("LogicalRDD")) <= 2
+
+
 def test_ids_and_scores_in_turn_are_read_as_all_others(spark, monkeypatch):
     rng = random.Random(3)
     pieces = ["QE1: a ", "QE1_SCORE: 1 ", "QE2: \n", "QE2_SCORE:0.5", "QE12: x ", "QE12_SCORE: 2. ", "QE1: b QE1_SCORE: 0 ", "QE2: QE2_SCORE: 2"]
