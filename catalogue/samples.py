@@ -19,6 +19,9 @@ from papersieve import fixed_values as fv
 MULTIPLIERS = [3, 5, 7, 11, 13, 17, 19, 23]
 PAGE_CHARS = 1000
 
+BROADCAST_LABELS = 2_000_000
+"""Labels that go to the texts as a whole, some 150 MB; beside more of them texts are shuffled."""
+
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, text`` as given."""
@@ -57,10 +60,11 @@ def _score(k: int) -> str:
 def described(spark: SparkSession, folder: str) -> DataFrame:
     """What replies are made from: the texts and columns of ``documents``, and ``labels`` where there are any."""
     documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source", "lang", "n_chars")
-    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(
-        F.max("quality").alias("quality"), F.max("toxic").alias("toxic")
-    )
-    return documents.join(labels, "doc_id", "left")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    single = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    if labels.count() <= BROADCAST_LABELS:  # else Spark moves all texts for a few bytes each
+        single = F.broadcast(single)
+    return documents.join(single, "doc_id", "left")
 
 
 def _item(qid: str, answer: str, shown: str) -> str:

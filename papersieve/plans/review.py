@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papersieve import fixed_values as fv
+from papersieve.functions.places import from_places, stored_item, to_places
 from papersieve.functions.text import preview
 from papersieve.operators.inference import attach_responses, without_text
 from papersieve.operators.parsing import computed_once, parse_extraction, parse_quality
@@ -25,9 +26,13 @@ from papersieve.schema import ReviewSchema
 from papersieve.sources.corpus import pending_documents
 from papersieve.sources.reports import write_headers
 from papersieve.sources.runs import RUN_ID, clear, commit, new_run_id, snapshot, vacuum, valid_rows
+from papersieve.sources.storage import shuffles_removed
 
 BROADCAST_IDS = 2_000_000
 """Ids that are broadcast to find pending documents, some 32 MB."""
+ZSTD_LEVEL = 5
+ANSWERS = {"qa_items": "descr", "de_items": "value"}
+"""Columns of the decisions whose items hold texts of the reply, and in which field."""
 
 
 class Reports(NamedTuple):
@@ -114,6 +119,37 @@ def wanted_replies(responses: DataFrame, todo: DataFrame, earlier: DataFrame | N
     return responses
 
 
+def _item(columns: T.StructType, name: str) -> T.StructType:
+    return columns[name].dataType.elementType
+
+
+def short_decisions(decided: DataFrame) -> DataFrame:
+    """Decisions as they are stored: what a reply answers as places in the reply, which stands beside it."""
+    return decided.withColumns({
+        name: to_places(F.col(name), _item(decided.schema, name), text, F.col("response"))
+        for name, text in ANSWERS.items()
+    })
+
+
+def whole_decisions(stored: DataFrame, columns: T.StructType, *names: str) -> DataFrame:
+    """Decisions with the ``columns`` that ``short_decisions`` was given, or some; only ``names`` have their texts, if there are any."""
+    names = names or tuple(name for name in ANSWERS if name in columns.names)
+    if not names:
+        return stored.select(*columns.names)
+    told = stored.withColumns({
+        name: from_places(F.col(name), _item(columns, name), ANSWERS[name], F.col("response")) for name in names
+    })
+    return computed_once(told, *names).select(*columns.names)
+
+
+def _stored_columns(columns: T.StructType) -> T.StructType:
+    """The columns of ``short_decisions`` for those of the decisions."""
+    return T.StructType([
+        T.StructField(field.name, T.ArrayType(stored_item(_item(columns, field.name)))) if field.name in ANSWERS else field
+        for field in columns.fields
+    ])
+
+
 def write_run(
     documents: DataFrame,
     responses: DataFrame,
@@ -132,8 +168,9 @@ def write_run(
     Documents are scanned once, into a table of ids and openings. The decisions are written
     next, and the reports read them from there: replies are parsed once, a
     lost executor costs only its own tasks, and a report reads only the
-    statuses it shows. Decisions hold each text twice, so they are written by the tasks that made
-    them, a file for each status, and not shuffled again. The headers of the reports are a table as well. With a ``backend``, its address and model, the log opens with a
+    statuses it shows. Decisions hold the replies, and their answers as places in these; they are written by the tasks that made
+    them, a file for each status, and not shuffled again. Openings are removed as soon as the artifacts
+    hold them, shuffled rows as soon as a table is written. The headers of the reports are a table as well. With a ``backend``, its address and model, the log opens with a
     heading.
     """
     spark, run_id = documents.sparkSession, new_run_id()
@@ -148,9 +185,10 @@ def write_run(
     ) -> None:
         writer = table.withColumn("run_ts", F.lit(run_ts)).write.format(source)
         if source == "parquet":  # texts are in most tables, and take a third less than by Spark's default
-            writer = writer.option("compression", "zstd")
+            writer = writer.option("compression", "zstd").option("parquet.compression.codec.zstd.level", ZSTD_LEVEL)
         writer = writer.options(**options)
-        writer.mode("errorifexists").partitionBy("run_ts", *partitions).save(f"{path}/{RUN_ID}={run_id}")
+        with shuffles_removed(spark):
+            writer.mode("errorifexists").partitionBy("run_ts", *partitions).save(f"{path}/{RUN_ID}={run_id}")
 
     scanned = scan_documents(documents, earlier)
     write(scanned, scanned_path(folder), source="parquet", options={})
@@ -159,22 +197,24 @@ def write_run(
 
     wanted = wanted_replies(responses, todo, earlier)
     decided = review_replies(attach_responses(todo, wanted), schema, id_pattern, strict_keys)
-    write(decided, paths.decisions, "status", source="parquet", options={})
-    decisions = _read_back(spark, paths.decisions, decided.schema, run_id)
+    write(short_decisions(decided), paths.decisions, "status", source="parquet", options={})
+    decisions = _read_back(spark, paths.decisions, _stored_columns(decided.schema), run_id)
 
-    write(quality_report(decisions, schema, "doc_id"), paths.qa_report)
-    write(extraction_report(decisions, schema, "doc_id"), paths.de_report)
+    previews = known.where("preview IS NOT NULL").select("doc_id", "file_name", "preview")
+    write(artifacts(previews, decisions, schema.prompt()), paths.artifacts)
+    clear(spark, f"{scanned_path(folder)}/{RUN_ID}={run_id}")
+    scored = whole_decisions(decisions, decided.schema, "qa_items")
+    write(quality_report(scored, schema, "doc_id"), paths.qa_report)
+    filled = whole_decisions(decisions, decided.schema, "de_items")
+    write(extraction_report(filled, schema, "doc_id"), paths.de_report)
     log = response_log(decisions, run_ts)
     if backend:
         log = log_heading(spark, run_ts, *backend).unionByName(log)
     write(log, paths.response_log)
-    previews = known.where("preview IS NOT NULL").select("doc_id", "file_name", "preview")
-    write(artifacts(previews, decisions, schema.prompt()), paths.artifacts)
     # few bytes a document, so a task would leave a small file for each status
     write(manifest(decisions).hint("rebalance", "status"), paths.manifest, "status")
     headers = {"qa_report": schema.qa_header(), "de_report": schema.de_header()}
     write_headers(spark, folder, run_id, headers)
-    clear(spark, f"{scanned_path(folder)}/{RUN_ID}={run_id}")
     return run_id
 
 
@@ -237,6 +277,9 @@ def read_decisions(
 ) -> DataFrame:
     """The written decisions of one run that counts."""
     text = T.StringType()
-    stored = T.StructType([*columns.fields, T.StructField("run_ts", text), T.StructField(RUN_ID, text)])
+    kept = _stored_columns(columns).fields
+    if "response" not in columns.names:  # answers are places in it
+        kept = [*kept, T.StructField("response", text)]
+    stored = T.StructType([*kept, T.StructField("run_ts", text), T.StructField(RUN_ID, text)])
     rows = spark.read.schema(stored).parquet(path).where(F.col("run_ts") == run_ts)
-    return valid_rows(rows, path.rstrip("/").rpartition("/")[0]).select(*columns.names)
+    return whole_decisions(valid_rows(rows, path.rstrip("/").rpartition("/")[0]), columns)
